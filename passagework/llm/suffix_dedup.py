@@ -26,9 +26,9 @@ from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text that are hashed at once, and bytes of context in a shard.
-CHUNK, SHARD = 2_000_000, 1_500_000
+CHUNK, SHARD = 1_000_000, 600_000
 #: Contexts of one anchor that a shard takes; more are dealt over several.
-SPLIT = 4_000
+SPLIT = 1_000
 #: Passages of split anchors in a merging task.
 MERGE = 1_000_000
 
