@@ -217,7 +217,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
     tables, parts = [spots, again, kinds, edge, found], [whole, found.where("digest is null").select("_k", "lo", "hi")]
     if asked := found.where("digest is not null").count():
         merge = found.where("digest is not null").groupBy(F.expr(f"pmod(digest, {storage.parts_for(asked, MERGE)})").alias("part"))
-        parts.append(merge.applyInArrow(lambda group: _merge(group), FOUND).select("_k", "lo", "hi"))
+        parts.append(merge.applyInArrow(_merge, FOUND).select("_k", "lo", "hi"))
     spans = parts[0]
     for more in parts[1:]:
         spans = spans.unionByName(more)
