@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import storage
-from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, mixed, starts, words
+from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, mixed, packed, starts, unpacked, words
 
 #: Bytes of text in a batch; hashes that stand for the end of a text and for its beginning.
 CHUNK, END, BEGIN = 8_000_000, 1, 2
@@ -39,18 +39,6 @@ HISTORY, FOLLOWER, DISCOUNTED = 20, 2, 5
 SPLIT, WORDS, PAIRS = 500_000, 1_000_000, 1_000_000
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Bytes of equal weight side by side, compressed."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpacked(blob: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
-
-
 def discounts(times: np.ndarray) -> np.ndarray:
     """d(0..DISCOUNTED) by Good-Turing from the numbers of kinds seen 1..DISCOUNTED + 1 times; r / (r + 1) where that fails."""
     k, n = DISCOUNTED, [0.0, *map(float, times)]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import storage
-from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed
+from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed, packed, unpacked
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text that are hashed at once, and bytes of context in a shard.
@@ -148,14 +148,14 @@ def shard_repeats(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     return data, kind, ends - sizes
 
 
-FOUND = "_k bigint, lo int, hi int, sub int, digest bigint"
+FOUND = "_k bigint, lo int, hi int, part int, digests binary, keys binary, places binary"
 
 
-def _shard(length: int):
+def _shard(length: int, parts: int):
     def run(group: pa.Table) -> pa.Table:
         contexts = group["context"].to_pylist()
         own, split = (np.array(group[c].to_pylist(), bool) for c in ("own", "split"))
-        keys, places, subs = (np.array(group[c].to_pylist(), np.int64) for c in ("_k", "pos", "sub"))
+        keys, places = (np.array(group[c].to_pylist(), np.int64) for c in ("_k", "pos"))
         data, kind, begin = shard_repeats(contexts, length)
         count = np.fromiter(map(len, contexts), np.int64, len(contexts)) - length + 1
         of = np.repeat(np.arange(len(contexts)), count)
@@ -165,26 +165,41 @@ def _shard(length: int):
         first = hit & ~np.concatenate(([False], hit[:-1] & (of[1:] == of[:-1])))
         last = hit & ~np.append(hit[1:] & (of[1:] == of[:-1]), False)
         first, last = np.flatnonzero(first), np.flatnonzero(last)
-        rows = [(keys[of[first]], places[of[first]] + step[first], places[of[last]] + step[last] + length, np.zeros(len(first), np.int64), None)]
+        found = {"_k": keys[of[first]], "lo": places[of[first]] + step[first], "hi": places[of[last]] + step[last] + length}
+        blobs: dict[str, list] = {"part": [], "digests": [], "keys": [], "places": []}
         if split.any():
             _, one = np.unique(np.where(kinds >= 0, kinds, -1 - np.arange(len(kinds))), return_index=True)
             one = one[split[of[one]]]
             at = begin[of[one]] + step[one]
-            ask = own[of[one]] & (kinds[one] < 0)
-            rows.append((np.where(ask, keys[of[one]], 0), places[of[one]] + step[one], np.where(ask, places[of[one]] + step[one] + length, -1), subs[of[one]], Sums(data).of(at, at + length).view(np.int64)))
-        return pa.concat_tables(
-            pa.table({"_k": pa.array(k, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "sub": pa.array(sub, pa.int32()), "digest": pa.nulls(len(k), pa.int64()) if d is None else pa.array(d)}) for k, lo, hi, sub, d in rows
-        )
+            digest = Sums(data).of(at, at + length)
+            order = np.argsort(digest)
+            one, digest = one[order], digest[order]
+            place = np.where(own[of[one]] & (kinds[one] < 0), places[of[one]] + step[one], -1)
+            edge = np.searchsorted(digest >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64) * np.uint64(1 << 32) // np.uint64(parts))
+            for part in np.flatnonzero(np.diff(edge)):
+                a, b = edge[part], edge[part + 1]
+                for name, value in (("part", int(part)), ("digests", packed(digest[a:b])), ("keys", packed(keys[of[one[a:b]]])), ("places", packed(place[a:b].astype(np.int32)))):
+                    blobs[name].append(value)
+        n, m = len(first), len(blobs["part"])
+        return pa.table({
+            **{c: pa.concat_arrays([pa.array(found[c], k), pa.nulls(m, k)]) for c, k in (("_k", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()))},
+            **{c: pa.concat_arrays([pa.nulls(n, k), pa.array(blobs[c], k)]) for c, k in (("part", pa.int32()), ("digests", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()))},
+        })
 
     return run
 
 
-def _merge(group: pa.Table) -> pa.Table:
-    """Passages of split anchors that another shard has too: each is sought in the sorted passages of all shards."""
-    digest = group["digest"].to_numpy()
-    everywhere = np.sort(digest)
-    count = np.searchsorted(everywhere, digest, "right") - np.searchsorted(everywhere, digest, "left")
-    return group.select(["_k", "lo", "hi", "sub", "digest"]).filter(pa.array((count > 1) & (group["hi"].to_numpy() >= 0)))
+def _merge(length: int):
+    """Passages of split anchors that another shard has too: each shard's are sought in the sorted passages of all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        digests, keys, places = (np.concatenate([unpacked(x, k) for x in group[c].to_pylist()]) for c, k in (("digests", np.uint64), ("keys", np.int64), ("places", np.int32)))
+        everywhere = np.sort(digests)
+        count = np.searchsorted(everywhere, digests, "right") - np.searchsorted(everywhere, digests, "left")
+        hit = (count > 1) & (places >= 0)
+        return pa.table({"_k": keys[hit], "lo": pa.array(places[hit], pa.int32()), "hi": pa.array(places[hit] + length, pa.int32())})
+
+    return run
 
 
 def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[DataFrame]]:
@@ -210,14 +225,14 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
     edge = storage.saved(edge.select("*", F.expr(f"pack % 65536 + {length}").alias("size")), "edges")
     volume = edge.agg(F.sum("size")).first()[0] or 0
     shards = storage.parts_for(volume, SHARD)
-    listed = edge.withColumn("shard", F.expr(f"cast(pmod(xxhash64(h, sub), {shards}) as int)")).groupBy("_k").agg(F.collect_list(F.struct("pos", "size", "own", "split", "sub", "shard")).alias("each"))
+    listed = edge.withColumn("shard", F.expr(f"cast(pmod(xxhash64(h, sub), {shards}) as int)")).groupBy("_k").agg(F.collect_list(F.struct("pos", "size", "own", "split", "shard")).alias("each"))
     cut = rows.join(listed, "_k").select("_k", F.col("_text").cast("binary").alias("bin"), "each")
-    cut = cut.select("_k", F.explode(F.expr("transform(each, x -> struct(x.pos as pos, x.own as own, x.split as split, x.sub as sub, x.shard as shard, substring(bin, x.pos + 1, x.size) as context))")).alias("x")).select("_k", "x.*")
-    found = storage.saved(cut.groupBy("shard").applyInArrow(_shard(length), FOUND), "sorted")
-    tables, parts = [spots, again, kinds, edge, found], [whole, found.where("digest is null").select("_k", "lo", "hi")]
-    if asked := found.where("digest is not null").count():
-        merge = found.where("digest is not null").groupBy(F.expr(f"pmod(digest, {storage.parts_for(asked, MERGE)})").alias("part"))
-        parts.append(merge.applyInArrow(_merge, FOUND).select("_k", "lo", "hi"))
+    cut = cut.select("_k", F.explode(F.expr("transform(each, x -> struct(x.pos as pos, x.own as own, x.split as split, x.shard as shard, substring(bin, x.pos + 1, x.size) as context))")).alias("x")).select("_k", "x.*")
+    asked = edge.where("split").agg(F.sum(F.expr("pack % 65536 + 1"))).first()[0] or 0
+    found = storage.saved(cut.groupBy("shard").applyInArrow(_shard(length, storage.parts_for(asked, MERGE)), FOUND), "sorted")
+    tables, parts = [spots, again, kinds, edge, found], [whole, found.where("part is null").select("_k", "lo", "hi")]
+    if asked:
+        parts.append(found.where("part is not null").groupBy("part").applyInArrow(_merge(length), "_k bigint, lo int, hi int"))
     spans = parts[0]
     for more in parts[1:]:
         spans = spans.unionByName(more)
