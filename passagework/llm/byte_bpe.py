@@ -1,8 +1,8 @@
 """Byte-level byte-pair encoding and decoding with the ranks of a public vocabulary file.
 
 Pre-tokens are merged through a rank queue: a bucket for each merge rank holds positions of a linked
-list, a bitmap of three levels tells which buckets hold any, and find-first-set on it gives the least
-rank. A position whose pair has changed since it was queued is stale and skipped. A merge costs constant
+list, a bitmap of two levels (words of 64 ranks, and a summary of the words in use) tells which buckets hold
+any, and find-first-set on the two gives the least rank. A position whose pair has changed since it was queued is stale and skipped. A merge costs constant
 time plus the order of positions within its bucket, so a pre-token of any length takes close to linear time.
 
 A null or empty text has no ids and decodes to no bytes; special tokens are ordinary text; rows and ids
@@ -24,7 +24,7 @@ from passagework.llm.textbytes import chunks, column_bytes
 
 CHUNK = 4_000_000
 #: Pre-tokens whose ids a worker remembers, in each of two generations, and the length up to which it does.
-REMEMBERED, SHORT = 150_000, 64
+REMEMBERED, SHORT = 500_000, 64
 #: What \s stands for in the vocabulary's pattern, whatever the regular-expression library.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -43,7 +43,7 @@ class Coder:
                 if left is not None and right is not None:
                     self.pairs[left << self.shift | right] = rank
         words = (1 << self.shift >> 6) + 1
-        self.low, self.middle = [0] * words, [0] * ((words >> 6) + 1)
+        self.low, self.bits, self.wide = [0] * words, [1 << b for b in range(64)], [1 << w for w in range(words)]
         inner = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
         self.find = regex.compile(inner).findall
         self.young: dict[str, str] = {}
@@ -53,8 +53,8 @@ class Coder:
         """Ids of one pre-token: always the leftmost pair of the least rank is merged."""
         if (known := self.ranks.get(piece)) is not None:
             return [known]
-        pairs, shift, low, middle = self.pairs.get, self.shift, self.low, self.middle
-        token = [self.single[b] for b in piece]
+        pairs, shift, low, bits, wide = self.pairs.get, self.shift, self.low, self.bits, self.wide
+        token = list(map(self.single.__getitem__, piece))
         n = len(token)
         rank = [pairs(a << shift | b, -1) for a, b in zip(token, token[1:])]
         rank.append(-1)
@@ -67,49 +67,50 @@ class Coder:
                     buckets[r].append(at)
                 else:
                     buckets[r] = [at]
-                    word = r >> 6
-                    low[word] |= 1 << (r & 63)
-                    middle[word >> 6] |= 1 << (word & 63)
-                    top |= 1 << (word >> 6)
+                    low[r >> 6] |= bits[r & 63]
+                    top |= wide[r >> 6]
         while top:
-            high = (top & -top).bit_length() - 1
-            word = (high << 6) | (middle[high] & -middle[high]).bit_length() - 1
-            r = (word << 6) | (low[word] & -low[word]).bit_length() - 1
+            word = (top & -top).bit_length() - 1
+            some = low[word]
+            r = (word << 6) + (some & -some).bit_length() - 1
             bucket = buckets[r]
-            at = heappop(bucket)
-            fresh = ()
-            if rank[at] == r:
-                gone = after[at]
-                token[at] = r
-                token[gone] = rank[gone] = -1
-                right = after[at] = after[gone]
-                rank[at] = pairs(r << shift | token[right], -1) if right < n else -1
-                if right < n:
-                    before[right] = at
-                left = before[at]
-                if left >= 0:
-                    rank[left] = pairs(token[left] << shift | r, -1)
-                    fresh = (left, at)
-                else:
-                    fresh = (at,)
-            if not bucket:
+            if len(bucket) == 1:
+                at = bucket[0]
                 del buckets[r]
-                low[word] &= ~(1 << (r & 63))
-                if not low[word]:
-                    middle[high] &= ~(1 << (word & 63))
-                    if not middle[high]:
-                        top &= ~(1 << high)
-            for at in fresh:
-                r = rank[at]
-                if r >= 0:
-                    if r in buckets:
-                        heappush(buckets[r], at)
+                some ^= bits[r & 63]
+                low[word] = some
+                if not some:
+                    top ^= wide[word]
+            else:
+                at = heappop(bucket)
+            if rank[at] != r:
+                continue
+            gone = after[at]
+            token[at] = r
+            token[gone] = rank[gone] = -1
+            right = after[at] = after[gone]
+            if right < n:
+                before[right] = at
+                new = rank[at] = pairs(r << shift | token[right], -1)
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], at)
+                    else:
+                        buckets[new] = [at]
+                        low[new >> 6] |= bits[new & 63]
+                        top |= wide[new >> 6]
+            else:
+                rank[at] = -1
+            left = before[at]
+            if left >= 0:
+                new = rank[left] = pairs(token[left] << shift | r, -1)
+                if new >= 0:
+                    if new in buckets:
+                        heappush(buckets[new], left)
                     else:
-                        buckets[r] = [at]
-                        word = r >> 6
-                        low[word] |= 1 << (r & 63)
-                        middle[word >> 6] |= 1 << (word & 63)
-                        top |= 1 << (word >> 6)
+                        buckets[new] = [left]
+                        low[new >> 6] |= bits[new & 63]
+                        top |= wide[new >> 6]
         return [x for x in token if x >= 0]
 
     def piece(self, text: str) -> str:
