@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from passagework.llm import storage
 from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, mixed, packed, starts, unpacked, words
 
-#: Bytes of text in a batch; hashes that stand for the end of a text and for its beginning.
-CHUNK, END, BEGIN = 8_000_000, 1, 2
+#: Bytes of text in a batch, and of those that are hashed at once; hashes that stand for the end of a text and for its beginning.
+CHUNK, PIECE, END, BEGIN = 6_000_000, 1_000_000, 1, 2
 #: Times a history, and a word after it, must have been seen; up to which count discounts hold.
 HISTORY, FOLLOWER, DISCOUNTED = 20, 2, 5
 #: Tokens of one history in a partition; words, and pairs asked for, in a partition.
@@ -115,18 +115,31 @@ class Batch:
         return {"part": part, "before": before, "history": history, "follower": follower[order] >> np.uint64(16), "times": times[order], "count": count[after[order]], "begin": begin, "name": name[order][begin], "split": shares[order][begin] > 1, "asked": asked}
 
 
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens of each text, hashes of the tokens)."""
+    low = lowered(data)
+    start, end, of = words(low, offsets)
+    sizes = np.diff(of) + 1
+    token = np.full(sizes.sum(), END, np.uint64)
+    which, step = starts(low, of)
+    token[(np.cumsum(sizes) - sizes)[which] + step] = Sums(low).of(start, end)
+    return sizes, token
+
+
+def _rows(batches):
+    """Rows one at a time, as each holds a whole batch of text."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield from batch.slice(k, 1).to_pylist()
+
+
 def _batches(ids: str):
     def run(batches):
         at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for i, j in chunks(offsets, CHUNK):
-                low = lowered(data[offsets[i] : offsets[j]])
-                start, end, of = words(low, offsets[i : j + 1] - offsets[i])
-                sizes = np.diff(of) + 1
-                token = np.full(sizes.sum(), END, np.uint64)
-                which, step = starts(low, of)
-                token[(np.cumsum(sizes) - sizes)[which] + step] = Sums(low).of(start, end)
+                sizes, token = (np.concatenate(x) for x in zip(*(_tokens(data[offsets[i + a] : offsets[i + b]], offsets[i + a : i + b + 1] - offsets[i + a]) for a, b in chunks(offsets[i : j + 1] - offsets[i], PIECE))))
                 kinds, token = np.unique(token, return_inverse=True)
                 held = batch.column(2).slice(i, j - i)
                 learned = np.repeat(~held.to_numpy(zero_copy_only=False).astype(bool), sizes)
@@ -142,14 +155,13 @@ def _batches(ids: str):
 
 def _words_asked(parts: int):
     def run(batches):
-        for rows in batches:
-            for row in rows.to_pylist():
-                kinds, times = unpacked(row["kinds"], np.uint64), unpacked(row["times"], np.uint32)
-                part = _part(mixed(kinds), parts)
-                order = np.argsort(part, kind="stable")
-                edge = np.append(_runs(part[order]), len(part))
-                some = [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
-                yield pa.RecordBatch.from_pydict({"part": pa.array(part[order][edge[:-1]], pa.int64()), "batch": pa.array([row["batch"]] * len(some), pa.int64()), "kinds": pa.array([packed(kinds[s]) for s in some], pa.binary()), "times": pa.array([packed(times[s]) for s in some], pa.binary())})
+        for row in _rows(batches):
+            kinds, times = unpacked(row["kinds"], np.uint64), unpacked(row["times"], np.uint32)
+            part = _part(mixed(kinds), parts)
+            order = np.argsort(part, kind="stable")
+            edge = np.append(_runs(part[order]), len(part))
+            some = [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part[order][edge[:-1]], pa.int64()), "batch": pa.array([row["batch"]] * len(some), pa.int64()), "kinds": pa.array([packed(kinds[s]) for s in some], pa.binary()), "times": pa.array([packed(times[s]) for s in some], pa.binary())})
 
     return run, "part bigint, batch bigint, kinds binary, times binary"
 
@@ -186,24 +198,23 @@ def _counts(row: dict, own: Batch, parts: int) -> np.ndarray:
 
 def _pairs_asked(texts: int, word_parts: int, parts: int):
     def run(batches):
-        for rows in batches:
-            for row in rows.to_pylist():
-                own = Batch(row)
-                a = own.ask(_counts(row, own, word_parts), texts, parts)
-                edge = np.append(_runs(a["part"]), len(a["part"]))
-                length = np.diff(np.append(a["begin"], len(a["part"])))
-                out = {k: [] for k in ("part", "name", "split", "length", "follower", "times", "count")}
-                for x, y in zip(edge[:-1], edge[1:]):
-                    i, j = np.searchsorted(a["begin"], (x, y))
-                    out["part"].append(int(a["part"][x]))
-                    out["name"].append(packed(a["name"][i:j]))
-                    out["split"].append(packed(a["split"][i:j]))
-                    out["length"].append(packed(length[i:j].astype(np.uint32)))
-                    out["follower"].append(packed(a["follower"][x:y]))
-                    out["times"].append(packed(a["times"][x:y].astype(np.uint32)))
-                    out["count"].append(packed(a["count"][x:y].astype(np.uint32)))
-                blobs = {k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()}
-                yield pa.RecordBatch.from_pydict({"part": blobs.pop("part"), "batch": pa.array([row["batch"]] * (len(edge) - 1), pa.int64()), **blobs})
+        for row in _rows(batches):
+            own = Batch(row)
+            a = own.ask(_counts(row, own, word_parts), texts, parts)
+            edge = np.append(_runs(a["part"]), len(a["part"]))
+            length = np.diff(np.append(a["begin"], len(a["part"])))
+            out = {k: [] for k in ("part", "name", "split", "length", "follower", "times", "count")}
+            for x, y in zip(edge[:-1], edge[1:]):
+                i, j = np.searchsorted(a["begin"], (x, y))
+                out["part"].append(int(a["part"][x]))
+                out["name"].append(packed(a["name"][i:j]))
+                out["split"].append(packed(a["split"][i:j]))
+                out["length"].append(packed(length[i:j].astype(np.uint32)))
+                out["follower"].append(packed(a["follower"][x:y]))
+                out["times"].append(packed(a["times"][x:y].astype(np.uint32)))
+                out["count"].append(packed(a["count"][x:y].astype(np.uint32)))
+            blobs = {k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()}
+            yield pa.RecordBatch.from_pydict({"part": blobs.pop("part"), "batch": pa.array([row["batch"]] * (len(edge) - 1), pa.int64()), **blobs})
 
     return run, "part bigint, batch bigint, name binary, split binary, length binary, follower binary, times binary, count binary"
 
@@ -262,31 +273,30 @@ def _count_pairs(words_model: Unigrams):
 
 def _scored(texts: int, word_parts: int, parts: int, model: Unigrams, table: np.ndarray):
     def run(batches):
-        for rows in batches:
-            for row in rows.to_pylist():
-                own = Batch(row)
-                count = _counts(row, own, word_parts)
-                a = own.ask(count, texts, parts)
-                pairs = sorted(row["pairs"] or (), key=lambda x: x["part"])
-                total = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x["counts"], np.uint32) for x in pairs)]).astype(np.int64)
-                sums = np.concatenate([np.zeros((0, SUMS)), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x["sums"])).reshape(SUMS, -1).T for x in pairs)]).copy()
-                whole = {x["name"]: x["share"] for x in row["split"] or ()}
-                for i in np.flatnonzero(a["split"]):
-                    sums[i] = whole[int(a["name"][i : i + 1].view(np.int64)[0])]
-                n = len(own.kinds)
-                seen = np.append(count, texts).astype(float)
-                back, below = np.ones(n + 1), np.maximum(seen, 1)
-                history = a["before"][a["begin"]]
-                used = sums[:, :DISCOUNTED] @ (table[1:] * np.arange(1, DISCOUNTED + 1)) + sums[:, -2]
-                below[history] = np.where(used < seen[history] * (1 - 1e-12), seen[history], seen[history] + 1)
-                back[history] = (1 - used / below[history]) / (1 - sums[:, -1])
-                single = model.of(count)
-                asked, word = a["asked"], own.token
-                pair = np.append(total, 0)[asked]
-                found = np.where(pair > 0, discounted(pair, table) / below[a["history"]], back[a["history"]] * single[word])
-                base = (count[word] + 1) / (model.total + model.kinds + 1)
-                add = lambda x: np.add.reduceat(x, own.first)
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"]), pa.array(own.held), pa.array(own.sizes), pa.array(add((count[word] > 0).astype(np.int64))), pa.array(np.full(len(own.sizes), model.total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(found)))], ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for row in _rows(batches):
+            own = Batch(row)
+            count = _counts(row, own, word_parts)
+            a = own.ask(count, texts, parts)
+            pairs = sorted(row["pairs"] or (), key=lambda x: x["part"])
+            total = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x["counts"], np.uint32) for x in pairs)]).astype(np.int64)
+            sums = np.concatenate([np.zeros((0, SUMS)), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x["sums"])).reshape(SUMS, -1).T for x in pairs)]).copy()
+            whole = {x["name"]: x["share"] for x in row["split"] or ()}
+            for i in np.flatnonzero(a["split"]):
+                sums[i] = whole[int(a["name"][i : i + 1].view(np.int64)[0])]
+            n = len(own.kinds)
+            seen = np.append(count, texts).astype(float)
+            back, below = np.ones(n + 1), np.maximum(seen, 1)
+            history = a["before"][a["begin"]]
+            used = sums[:, :DISCOUNTED] @ (table[1:] * np.arange(1, DISCOUNTED + 1)) + sums[:, -2]
+            below[history] = np.where(used < seen[history] * (1 - 1e-12), seen[history], seen[history] + 1)
+            back[history] = (1 - used / below[history]) / (1 - sums[:, -1])
+            single = model.of(count)
+            asked, word = a["asked"], own.token
+            pair = np.append(total, 0)[asked]
+            found = np.where(pair > 0, discounted(pair, table) / below[a["history"]], back[a["history"]] * single[word])
+            base = (count[word] + 1) / (model.total + model.kinds + 1)
+            add = lambda x: np.add.reduceat(x, own.first)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"]), pa.array(own.held), pa.array(own.sizes), pa.array(add((count[word] > 0).astype(np.int64))), pa.array(np.full(len(own.sizes), model.total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(found)))], ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
