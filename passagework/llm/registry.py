@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm.byte_bpe import byte_bpe
+from passagework.llm import licence_scan as licences
+from passagework.llm.decontaminate import decontaminate
 from passagework.llm.katz_lm import katz_scores
 from passagework.llm.language_id import language_id
 from passagework.llm.neighbour_quality import neighbour_quality
@@ -53,6 +55,10 @@ def op6_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(_table(spark, sf_dir, "documents"), _remainder(7) == 2)
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(_table(spark, sf_dir, "documents")).withColumn("notices", F.concat_ws(",", "notices"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = byte_bpe(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -63,6 +69,11 @@ def op9_sentence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return done.select("doc_id", "contaminated", F.coalesce(F.size("matches"), F.lit(0)).alias("n_items"), F.col("matches.item").alias("item_ids"))
+
+
 QUERIES = {
     "op1_suffix_dedup": (op1_suffix_dedup, None),
     "op2_language_id": (op2_language_id, None),
@@ -70,8 +81,10 @@ QUERIES = {
     "op4_neighbour_quality": (op4_neighbour_quality, None),
     "op5_perplexity_rules": (op5_perplexity_rules, None),
     "op6_katz_lm": (op6_katz_lm, None),
+    "op7_licence_scan": (op7_licence_scan, licences.oracle_sql()),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_sentence_toxicity": (op9_sentence_toxicity, None),
+    "op10_decontaminate": (op10_decontaminate, None),
 }
 
 
