@@ -1,15 +1,70 @@
-"""From raw documents to token ids in five stages."""
+"""From raw documents to token ids in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept; all but the last
+return the columns of documents. A stage's operator says what it does with nulls and repeated rows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from passagework.llm import storage
+from passagework.llm.byte_bpe import byte_bpe
+from passagework.llm.decontaminate import decontaminate
+from passagework.llm.language_id import language_id
+from passagework.llm.simhash_dedup import near_duplicates
+from passagework.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models recognise; lang keeps its given value."""
+    found = language_id(docs, F.col("doc_id").isNotNull(), keep=tuple(COLUMNS[1:]))
+    return found.where(~F.col("rejected")).select(COLUMNS)
+
+
+def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of copies: five-word shingles, similarity 0.8 or more."""
+    return near_duplicates(docs).select(COLUMNS)
+
+
+def passages_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes that also start elsewhere; a character that is cut in two goes."""
+    found = suffix_dedup(docs).select("doc_id", F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
+    return docs.drop("text", "n_chars").join(found, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each text, with the digest of what they decode to."""
+    done = byte_bpe(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language identification", identified),
+    ("SimHash near-deduplication", near_deduplicated),
+    ("suffix-array deduplication", passages_removed),
+    ("benchmark decontamination", decontaminated),
+    ("byte-level BPE", tokenized),
+]
 
-STAGES: list = []
+#: The fitted models and the tokenizer have no SQL form; tests/llm/test_pipeline.py compares stages by brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = storage.saved(docs, f"stage{number}")
     return docs

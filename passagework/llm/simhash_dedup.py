@@ -241,3 +241,67 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rooted = rooted.join(named, "root").select("fp", "component_id")
     return table.join(rooted, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("_text"))
+            for i, j in chunks(offsets, CHUNK):
+                hashes, at = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("k", "root")), pa.array(found, pa.binary())], ["k", "root", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches):
+        for batch in batches:
+            own, first = batch.column("shingles"), batch.column("leading")
+            hit = []
+            for a, b in zip(own, first):
+                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                least = min(len(a), len(b))
+                shared = len(np.intersect1d(a, b, True)) if least >= similarity * max(len(a), len(b)) else 0
+                hit.append(not len(a) + len(b) or shared >= similarity * (len(a) + len(b) - shared))
+            keep = pa.array(hit, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("leader"), keep], ["k", "leader", "alike"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group one stays, all its columns with it.
+
+    Texts whose fingerprints connect within the radius are candidates. Of a candidate component the row
+    with the least key leads, and goes on with what has at least `similarity` of its distinct shingles in
+    common with it; the rest gets a new leader, until none is left. So each row that goes is similar to a
+    row that stays, and no two leaders of a component are. Keys are ids, or row numbers where ids repeat or are null."""
+    rows, own = storage.keyed(docs, id_col, text_col)
+    if own:  # number whole rows
+        whole = storage.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
+        rows = whole.select(F.col("_row").alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    prints = fingerprint_table(rows, "_k", "_text", size)
+    table = rows.select("_k", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("same"))
+    table = storage.saved(table.join(prints.withColumnRenamed("_id", "_k"), "_k"), "texts")
+    texts = storage.saved(table.groupBy("same", "fp").agg(F.min("_k").alias("k")), "distinct")
+    joined = components(storage.saved(links(texts.select("fp").distinct(), radius), "links"))
+    members = texts.join(joined.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("k", F.coalesce("root", "fp").alias("root"))
+    several = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
+    left = rows.join(members.join(several, "root").withColumnRenamed("k", "_k"), "_k").select(F.col("_k").alias("k"), "root", "_text")
+    left = storage.saved(left.mapInArrow(_sets(size), "k bigint, root bigint, shingles binary"), "sets")
+    gone = []
+    while left.limit(1).count():
+        leaders = left.groupBy("root").agg(F.min("k").alias("leader"))
+        leading = left.join(leaders, "root").where("k = leader").select("root", "leader", F.col("shingles").alias("leading"))
+        tried = left.join(leading, "root").where("k <> leader").select("k", "leader", "shingles", "leading")
+        tried = storage.saved(tried.mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean"), "tried")
+        gone.append(tried.where("alike").select("k"))
+        left = storage.saved(left.join(tried.where("not alike").select("k"), "k", "left_semi"), "left")
+    stay = texts.select("k")
+    for each in gone:
+        stay = stay.join(each, "k", "left_anti")
+    if own:
+        return whole.join(stay.select(F.col("k").alias("_row")), "_row", "left_semi").drop("_row")
+    return docs.join(stay.select(F.col("k").alias(id_col)), id_col, "left_semi").select(docs.columns)
