@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES: list = []
+from passagework.plans import retrieval
+
+MODULES = [retrieval]
 
 
 def queries() -> dict:
