@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.sampling import bounded
+from passagework.llm.sampling import labelled
 from passagework.llm.textbytes import Sums, chunks, column_bytes, starts, words
 
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS, CHUNK = 1_500, 2_048, 48, 15, 8, 1_000_000
@@ -81,9 +81,8 @@ class Voter:
         return np.clip(out, 0, 1)
 
 
-def fit(rows: DataFrame) -> Voter:
-    """From rows with _text and _label (0 or 1)."""
-    counts = {int(r[0]): r[1] for r in rows.where("_label in (0, 1)").groupBy("_label").count().collect()}
+def fit(rows: DataFrame, counts: dict[int, int]) -> Voter:
+    """From a sample with _text and _label, and how many rows have each label."""
     total = sum(counts.values())
     if not total:
         return Voter(np.zeros((0, WIDTH), np.float32), np.zeros(0), 0.5, np.zeros(0))
@@ -95,7 +94,7 @@ def fit(rows: DataFrame) -> Voter:
                 found = vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "vector"])
 
-    got = bounded(rows.where("_label in (0, 1)"), "_label", SAMPLE).select(F.col("_label").cast("int"), "_text").mapInArrow(run, "label int, vector binary").toPandas().sort_values(["label", "vector"])
+    got = rows.select("_label", "_text").mapInArrow(run, "label int, vector binary").toPandas().sort_values(["label", "vector"])
     labels = got["label"].to_numpy()
     sample = np.frombuffer(b"".join(got["vector"]), np.float32).reshape(len(labels), WIDTH)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
@@ -107,9 +106,7 @@ def neighbour_quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "
     """One row per row of docs: id, score (0 to 1).
 
     labels: id and label_col (0 or 1); learn: a Column over docs, true for rows whose labels may be learned."""
-    text = F.col(text_col).cast("string").alias("_text")
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label is not null")
-    own = fit(docs.where(learn).select(F.col(id_col).alias("_id"), text).join(known, "_id").select("_text", "_label"))
+    own = fit(*labelled(docs, labels, learn, id_col, text_col, label_col, SAMPLE))
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
@@ -121,5 +118,5 @@ def neighbour_quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "
                     score = shared.value.score(vectors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score.astype(np.float64))], ["_id", "score"])
 
-    few = docs.select(F.col(id_col).alias("_id"), text)
+    few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return few.mapInArrow(run, f"_id {dict(few.dtypes)['_id']}, score double").withColumnRenamed("_id", id_col)
