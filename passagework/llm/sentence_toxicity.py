@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.sampling import bounded
+from passagework.llm.sampling import labelled
 from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered
 
 SAMPLE, FEATURES, BITS, LEAST, ROUNDS, CHUNK, OFFENDS = 4_000, 4_000, 20, 6, 400, 1_000_000, 0.5
@@ -87,13 +87,11 @@ def noisy_or(label: np.ndarray, weight: np.ndarray, plain: np.ndarray, doc: np.n
     return at[:-1], float(at[-1])
 
 
-def fit(rows: DataFrame) -> Scorer:
-    """From rows with _text and _label (0 or 1)."""
-    rows = rows.where("_label in (0, 1)")
-    counts = {int(r[0]): r[1] for r in rows.groupBy("_label").count().collect()}
+def fit(rows: DataFrame, counts: dict[int, int]) -> Scorer:
+    """From a sample with _text and _label, and how many rows have each label."""
     if len(counts) < 2:
         return Scorer(None, 0.0, float(1 in counts))
-    few = bounded(rows, "_label", SAMPLE).select(F.col("_label").cast("int"), "_text")
+    few = rows.select("_label", "_text")
 
     def counted(batches):
         total = np.zeros((2, 1 << BITS), np.int32)
@@ -151,9 +149,7 @@ def fit(rows: DataFrame) -> Scorer:
 
 def sentence_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """One row per row of docs: id, score (0 to 1), offending (byte range and score of each offending sentence)."""
-    text = F.col(text_col).cast("string").alias("_text")
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_label is not null")
-    own = fit(docs.where(learn).select(F.col(id_col).alias("_id"), text).join(known, "_id").select("_text", "_label"))
+    own = fit(*labelled(docs, labels, learn, id_col, text_col, label_col, SAMPLE))
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches):
@@ -165,5 +161,5 @@ def sentence_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "
                 listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(j - i + 1)), pa.int32()), spans)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), listed], ["_id", "score", "offending"])
 
-    few = docs.select(F.col(id_col).alias("_id"), text)
+    few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     return few.mapInArrow(run, f"_id {dict(few.dtypes)['_id']}, score double, offending array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)
