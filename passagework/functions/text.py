@@ -25,7 +25,7 @@ def collapsed(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty pieces between danda, ?, ! and line breaks; a full stop does not end one."""
-    return F.filter(F.transform(F.split(text, "[।?!\n]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[।?!\n]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def share(part: Column, rest: Column) -> Column:

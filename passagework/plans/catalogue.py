@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.plans import retrieval
+from passagework.plans import answers, measures, retrieval, rules
 
-MODULES = [retrieval]
+MODULES = [retrieval, rules, answers, measures]
 
 
 def queries() -> dict:
