@@ -80,12 +80,15 @@ def callout(text: Column) -> Column:
     return kind
 
 
-@F.pandas_udf("string")
-def nfc(text: pd.Series) -> pd.Series:
-    """Canonical composition; no built-in function does it."""
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def nfc(text: Column) -> Column:
+    """Canonical composition; no built-in function does it."""
+    return F.pandas_udf(_composed, "string")(text)
+
+
 def _by_token(text: Column, table: dict[str, str]) -> Column:
     """Whole Devanagari runs replaced from a table."""
     known = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))

@@ -59,7 +59,7 @@ def dense(questions: DataFrame, chunks: DataFrame) -> DataFrame:
         return questions.select("qid", "qv").join(chunks.select("cid", "cv")).select("qid", "cid", T.dot(F.col("qv"), F.col("cv")).alias("dense"))
     few = questions.select("qid", "qv").orderBy("qid").toPandas()
     ids = few["qid"].to_numpy(np.int64)
-    matrix = np.array([np.asarray(v, np.float64) for v in few["qv"]]).reshape(len(ids), -1).T
+    matrix = np.stack([np.asarray(v, np.float64) for v in few["qv"]]).T if len(ids) else np.zeros((0, 0))
 
     def run(batches):
         for batch in batches:
