@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.llm import storage
@@ -32,6 +32,8 @@ from passagework.llm.components import components
 from passagework.llm.textbytes import chunks, column_bytes, lowered, spaces, starts, words
 
 CHUNK, SAMPLE, BLOCK = 2_000_000, 20_000, 4_096
+#: Leaders that a component of near_duplicates gets in its first, second, ... turn.
+LEADERS = [1, 8, 64]
 #: Cost of a probe row and of a compared pair, in ns: they weigh the plan only.
 ROW_NS, PAIR_NS = 1_500, 4
 _lanes = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
@@ -250,7 +252,7 @@ def _sets(size: int):
             for i, j in chunks(offsets, CHUNK):
                 hashes, at = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("k", "root")), pa.array(found, pa.binary())], ["k", "root", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("k", "root", "fp")), pa.array(found, pa.binary())], ["k", "root", "fp", "shingles"])
 
     return run
 
@@ -274,10 +276,12 @@ def _alike(similarity: float):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group one stays, all its columns with it.
 
-    Texts whose fingerprints connect within the radius are candidates. Of a candidate component the row
-    with the least key leads, and goes on with what has at least `similarity` of its distinct shingles in
-    common with it; the rest gets a new leader, until none is left. So each row that goes is similar to a
-    row that stays, and no two leaders of a component are. Keys are ids, or row numbers where ids repeat or are null."""
+    Texts within the radius of each other are candidates; they are sought within the components that such
+    links make. In turns, the rows with the least keys of a component become leaders; a leader stays if no
+    earlier leader of its turn is similar, and what is similar to one that stays goes (similar: at least
+    `similarity` of the distinct shingles of both are shared). The rest takes the next turn, until none is
+    left. So each row that goes is similar to a row that stays. A turn compares a row with few leaders, so
+    a dense group is done in its first. Keys are ids, or row numbers where ids repeat or are null."""
     rows, own = storage.keyed(docs, id_col, text_col)
     if own:  # number whole rows
         whole = storage.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
@@ -287,18 +291,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = storage.saved(table.join(prints.withColumnRenamed("_id", "_k"), "_k"), "texts")
     texts = storage.saved(table.groupBy("same", "fp").agg(F.min("_k").alias("k")), "distinct")
     joined = components(storage.saved(links(texts.select("fp").distinct(), radius), "links"))
-    members = texts.join(joined.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("k", F.coalesce("root", "fp").alias("root"))
+    members = texts.join(joined.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("root"))
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    left = rows.join(members.join(several, "root").withColumnRenamed("k", "_k"), "_k").select(F.col("_k").alias("k"), "root", "_text")
-    left = storage.saved(left.mapInArrow(_sets(size), "k bigint, root bigint, shingles binary"), "sets")
-    gone = []
+    left = rows.join(members.join(several, "root").withColumnRenamed("k", "_k"), "_k").select(F.col("_k").alias("k"), "root", "fp", "_text")
+    sets = storage.saved(left.mapInArrow(_sets(size), "k bigint, root bigint, fp bigint, shingles binary"), "sets")
+    left, gone, turn = sets.select("k", "root", "fp"), [], 0
     while left.limit(1).count():
-        leaders = left.groupBy("root").agg(F.min("k").alias("leader"))
-        leading = left.join(leaders, "root").where("k = leader").select("root", "leader", F.col("shingles").alias("leading"))
-        tried = left.join(leading, "root").where("k <> leader").select("k", "leader", "shingles", "leading")
-        tried = storage.saved(tried.mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean"), "tried")
-        gone.append(tried.where("alike").select("k"))
-        left = storage.saved(left.join(tried.where("not alike").select("k"), "k", "left_semi"), "left")
+        place = F.row_number().over(Window.partitionBy("root").orderBy("k"))
+        leaders = storage.saved(left.withColumn("place", place).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)]).select("root", F.col("k").alias("leader"), F.col("fp").alias("own")), "leaders")
+        near = (F.col("k") > F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius)
+        tried = left.alias("l").join(leaders.alias("r"), (F.col("l.root") == F.col("r.root")) & near).select("k", "leader")
+        tried = tried.join(sets.select("k", "shingles"), "k").join(sets.select(F.col("k").alias("leader"), F.col("shingles").alias("leading")), "leader")
+        tried = storage.saved(tried.select("k", "leader", "shingles", "leading").mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean").where("alike"), "tried")
+        first = leaders.select("leader").join(tried.select(F.col("k").alias("leader")), "leader", "left_anti")  # no earlier leader is similar
+        fell = storage.saved(tried.join(first, "leader", "left_semi").select("k").distinct(), "gone")
+        gone.append(fell)
+        left = storage.saved(left.join(fell, "k", "left_anti").join(first.withColumnRenamed("leader", "k"), "k", "left_anti"), "left")
+        turn += 1
     stay = texts.select("k")
     for each in gone:
         stay = stay.join(each, "k", "left_anti")
