@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.plans import answers, measures, retrieval, rules
+from passagework.plans import answers, measures, pages, retrieval, rules
 
-MODULES = [retrieval, rules, answers, measures]
+MODULES = [retrieval, rules, answers, measures, pages]
 
 
 def queries() -> dict:
