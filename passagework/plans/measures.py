@@ -151,6 +151,11 @@ def q_stream_quota(spark, sf):
     return feeds.daily_quota(spark, f"{sf}/events.parquet", 1_000.0)
 
 
+def q_stream_sessions(spark, sf):
+    """The last three user turns of each conversation, by a stateful stream."""
+    return feeds.last_turns(spark, f"{sf}/conversations.parquet")
+
+
 _RUNS = sql("r", "id, answered, retried, seconds, failures, expected, cited", RUNS).replace("[]", "[]::varchar[]")
 _MAN = sql("m", "chapter, first, last, pages, used", MANIFEST)
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\v\\f\\r]+'), lambda x: x <> '')"
@@ -176,5 +181,6 @@ QUERIES = {
     "q_preflight_counts": (q_preflight_counts, f"with {sql('c', 'name, state', CHECKS)} select state, count(*) as n from c group by state"),
     "q_interview_rule": (q_interview_rule, f"with {sql('i', 'id, screen, choice, honest', SCREENS)}, k as (select * from i where list_bool_and(screen) order by id limit 8), s as (select count(*) filter (choice = 'B') as b, count(*) filter (honest) as honest from k) select *, b < 5 as rescope, honest < 6 as revisit from s"),
     "q_stream_dedup": (q_stream_dedup, "select event_id from events"),
+    "q_stream_sessions": (q_stream_sessions, "select conv_id, string_agg(turn::varchar, ',' order by turn) as turns from (select *, row_number() over (partition by conv_id order by turn desc) as r from conversations where role = 'user') where r <= 3 group by conv_id"),
     "q_stream_quota": (q_stream_quota, "with d as (select date_trunc('day', ts)::date as day, sum(value) as used from events group by 1) select cast(day as varchar) as day, round(used, 2) as used, used > 1000 as over from d"),
 }

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 BODY = "struct<entry:array<struct<changes:array<struct<value:struct<messages:array<struct<id:string,`from`:string,type:string,text:struct<body:string>,audio:struct<id:string>>>,statuses:array<struct<id:string>>>>>>>>"
 #: How long a message id is remembered, and the longest question.
@@ -43,12 +45,39 @@ def finished(rows: DataFrame, mode: str = "append") -> DataFrame:
     return rows.sparkSession.table(name)
 
 
+def session_memory(rows: DataFrame, session: str, order: str, last: int = 3) -> DataFrame:
+    """(session, turns): the last few turns of each session, kept as state and emitted whenever it changes.
+
+    State is that of the sessions' last turns only; within a micro-batch a session's rows are put in order first."""
+
+    def remember(key, batches, state):
+        held = list(state.get[0]) if state.exists else []
+        for batch in batches:
+            held = sorted([*held, *map(int, batch[order])])[-last:]
+        state.update((held,))
+        yield pd.DataFrame({session: [key[0]], "turns": [",".join(map(str, held))]})
+
+    return rows.select(session, order).groupBy(session).applyInPandasWithState(remember, f"{session} bigint, turns string", "held array<bigint>", "update", GroupStateTimeout.NoTimeout)
+
+
+def last_turns(spark: SparkSession, path: str) -> DataFrame:
+    """The last user turns of each conversation of a table, through the stateful stream."""
+    stream = _stream(spark, path).where("role = 'user'")
+    return finished(session_memory(stream, "conv_id", "turn"), "update")
+
+
+def _stream(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, be it one file or a folder, as a stream."""
+    there = spark.read.parquet(path)
+    folder, _, file = path.rpartition("/")
+    single = there.inputFiles()[0].rstrip("/").endswith("/" + file)
+    reader = spark.readStream.schema(there.schema)
+    return reader.option("pathGlobFilter", file).parquet(folder) if single else reader.parquet(path)
+
+
 def _events(spark: SparkSession, path: str) -> DataFrame:
     """The table as a stream; time stamps without a zone are taken as the session's."""
-    schema = spark.read.parquet(path).schema
-    folder, _, file = path.rpartition("/")
-    plain = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder) if path.endswith(".parquet") and spark.read.parquet(path).inputFiles()[0].rstrip("/").endswith(file) else spark.readStream.schema(schema).parquet(path)
-    return plain.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _stream(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def deduplicated_feed(spark: SparkSession, path: str) -> DataFrame:
