@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence's logit is a bias plus the weights of its words and of their first four, five and six bytes;
-a document is toxic unless none of its sentences is (noisy-or). Weights are fitted to the labels of
+A sentence's logit is a bias plus the weights of its words and of their first four, five and six bytes (a
+word that repeats the one before it counts once); a document is toxic unless none of its sentences is (noisy-or). Weights are fitted to the labels of
 documents by gradient descent on that likelihood, over a bounded sample (SAMPLE documents a label) and the
 FEATURES hashed features that tell its labels apart best. The sentence scores then locate what offends.
 
@@ -33,12 +33,15 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple:
     start = np.flatnonzero(inside & (~np.concatenate(([False], inside[:-1])) | first[:-1]))
     end = np.flatnonzero(inside & (~np.append(inside[1:], False) | first[1:])) + 1
     sums = Sums(lowered(data))
+    stop = (data == 46) | (data == 33) | (data == 63) | (data == 10) | first[:-1]
+    number = np.cumsum(stop)[start] if len(start) else np.zeros(0, np.int64)
+    whole = sums.of(start, end)
+    again = np.concatenate(([False], (whole[1:] == whole[:-1]) & (number[1:] == number[:-1])))[: len(start)]
+    start, end, number = start[~again], end[~again], number[~again]
     spread = np.uint64(64 - BITS)
     found = [sums.of(start, end) >> spread]
     for k, n in enumerate(PREFIXES):
         found.append(((sums.of(start, np.minimum(start + n, end)) + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)) >> spread)
-    stop = (data == 46) | (data == 33) | (data == 63) | (data == 10) | first[:-1]
-    number = np.cumsum(stop)[start] if len(start) else np.zeros(0, np.int64)
     new = np.concatenate(([True], number[1:] != number[:-1])) if len(start) else np.zeros(0, bool)
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(start))[: len(begin)] - 1
