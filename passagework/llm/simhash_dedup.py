@@ -184,12 +184,26 @@ def forest(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: in
     return values[apart], values[root[apart]]
 
 
-def _buckets(radius: int):
+def every_link(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links within each group with a centre at one end, least value first."""
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.append(first, len(group)))
+    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for g in np.flatnonzero(size > 1):
+        own = values[first[g] : first[g] + size[g]]
+        for c in np.flatnonzero(centre[first[g] : first[g] + size[g]]):
+            met = own[(np.bitwise_count(own ^ own[c]) <= radius) & (own != own[c])]
+            left.append(np.minimum(met, own[c]))
+            right.append(np.maximum(met, own[c]))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _buckets(radius: int, found):
     def run(batches):
         kept = None
 
         def edges(rows):
-            a, b = forest(rows["fp"].to_numpy().view(np.uint64), rows["centre"].to_numpy(zero_copy_only=False), rows["group"].to_numpy(), radius)
+            a, b = found(rows["fp"].to_numpy().view(np.uint64), rows["centre"].to_numpy(zero_copy_only=False), rows["group"].to_numpy(), radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -205,8 +219,8 @@ def _buckets(radius: int):
     return run
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """(a, b) edges whose components are those of all distinct fingerprints (column fp) within the radius."""
+def links(nodes: DataFrame, radius: int, found=forest) -> DataFrame:
+    """(a, b) edges whose components are those of all distinct fingerprints (column fp) within the radius; with every_link, all such pairs, repeats included."""
     total = max(1_000, nodes.count())
     few = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     tried = probes(plan(few, total, radius))
@@ -217,7 +231,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     rows = rows.join(heavy, "group", "left").withColumn("blocks", F.expr(f"cast(coalesce(ceil(n / {BLOCK}), 1) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("fp", "centre", F.expr("if(blocks = 1, group, xxhash64(group, least(own, other), greatest(own, other)))").alias("group"))
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_buckets(radius), "a bigint, b bigint")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_buckets(radius, found), "a bigint, b bigint")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -273,15 +287,23 @@ def _alike(similarity: float):
     return run
 
 
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (k, leader) of similar texts, written."""
+    both = pairs.join(sets.select("k", "shingles"), "k").join(sets.select(F.col("k").alias("leader"), F.col("shingles").alias("leading")), "leader")
+    found = both.select("k", "leader", "shingles", "leading").mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean")
+    return storage.saved(found.where("alike").select("k", "leader"), "similar")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group one stays, all its columns with it.
 
     Texts within the radius of each other are candidates; they are sought within the components that such
-    links make. In turns, the rows with the least keys of a component become leaders; a leader stays if no
-    earlier leader of its turn is similar, and what is similar to one that stays goes (similar: at least
-    `similarity` of the distinct shingles of both are shared). The rest takes the next turn, until none is
-    left. So each row that goes is similar to a row that stays. A turn compares a row with few leaders, so
-    a dense group is done in its first. Keys are ids, or row numbers where ids repeat or are null."""
+    links make. In three turns, the rows with the least keys of a component become leaders; a leader stays
+    if no earlier leader of its turn is similar, and what is similar to one that stays goes (similar: at
+    least `similarity` of the distinct shingles of both are shared). A turn compares a row with few leaders,
+    so dense groups are done by then. All pairs within the radius among the rest are compared, and again
+    rows without a similar earlier row stay and those similar to them go, until no similar pair is left. So
+    each row that goes is similar to a row that stays. Keys are ids, or row numbers where ids repeat or are null."""
     rows, own = storage.keyed(docs, id_col, text_col)
     if own:  # number whole rows
         whole = storage.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
@@ -295,22 +317,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     left = rows.join(members.join(several, "root").withColumnRenamed("k", "_k"), "_k").select(F.col("_k").alias("k"), "root", "fp", "_text")
     sets = storage.saved(left.mapInArrow(_sets(size), "k bigint, root bigint, fp bigint, shingles binary"), "sets")
-    left, gone, turn = sets.select("k", "root", "fp"), [], 0
-    while left.limit(1).count():
+    left, gone = sets.select("k", "root", "fp"), []
+    for most in LEADERS:
         place = F.row_number().over(Window.partitionBy("root").orderBy("k"))
-        leaders = storage.saved(left.withColumn("place", place).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)]).select("root", F.col("k").alias("leader"), F.col("fp").alias("own")), "leaders")
+        leaders = storage.saved(left.withColumn("place", place).where(F.col("place") <= most).select("root", F.col("k").alias("leader"), F.col("fp").alias("own")), "leaders")
         near = (F.col("k") > F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius)
-        tried = left.alias("l").join(leaders.alias("r"), (F.col("l.root") == F.col("r.root")) & near).select("k", "leader")
-        tried = tried.join(sets.select("k", "shingles"), "k").join(sets.select(F.col("k").alias("leader"), F.col("shingles").alias("leading")), "leader")
-        tried = storage.saved(tried.select("k", "leader", "shingles", "leading").mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean").where("alike"), "tried")
+        tried = _similar(left.alias("l").join(leaders.alias("r"), (F.col("l.root") == F.col("r.root")) & near).select("k", "leader"), sets, similarity)
         first = leaders.select("leader").join(tried.select(F.col("k").alias("leader")), "leader", "left_anti")  # no earlier leader is similar
-        fell = storage.saved(tried.join(first, "leader", "left_semi").select("k").distinct(), "gone")
-        gone.append(fell)
-        left = storage.saved(left.join(fell, "k", "left_anti").join(first.withColumnRenamed("leader", "k"), "k", "left_anti"), "left")
-        turn += 1
-    stay = texts.select("k")
-    for each in gone:
-        stay = stay.join(each, "k", "left_anti")
+        gone.append(storage.saved(tried.join(first, "leader", "left_semi").select("k").distinct(), "gone"))
+        left = storage.saved(left.join(gone[-1], "k", "left_anti").join(first.withColumnRenamed("leader", "k"), "k", "left_anti"), "left")
+    pairs = links(left.select("fp").distinct(), radius, every_link).distinct().unionByName(left.select(F.col("fp").alias("a"), F.col("fp").alias("b")).distinct())
+    one, other = left.select(F.col("k").alias("k1"), F.col("fp").alias("a")), left.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
+    pairs = pairs.join(one, "a").join(other, "b").where("k1 <> k2").select(F.greatest("k1", "k2").alias("k"), F.least("k1", "k2").alias("leader")).distinct()
+    edges = _similar(pairs, sets, similarity)
+    while edges.limit(1).count():
+        first = edges.select("leader").distinct().join(edges.select(F.col("k").alias("leader")), "leader", "left_anti")
+        gone.append(storage.saved(edges.join(first, "leader", "left_semi").select("k").distinct(), "gone"))
+        fell = gone[-1]
+        edges = storage.saved(edges.join(fell, "k", "left_anti").join(fell.withColumnRenamed("k", "leader"), "leader", "left_anti"), "edges")
+    lost = gone[0]
+    for more in gone[1:]:
+        lost = lost.unionByName(more)
+    stay = texts.select("k").join(lost, "k", "left_anti")
     if own:
         return whole.join(stay.select(F.col("k").alias("_row")), "_row", "left_semi").drop("_row")
     return docs.join(stay.select(F.col("k").alias(id_col)), id_col, "left_semi").select(docs.columns)
