@@ -32,11 +32,11 @@ from passagework.llm import storage
 from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, mixed, packed, starts, unpacked, words
 
 #: Bytes of text in a batch, and of those that are hashed at once; hashes that stand for the end of a text and for its beginning.
-CHUNK, PIECE, END, BEGIN = 6_000_000, 1_000_000, 1, 2
+CHUNK, PIECE, END, BEGIN = 5_000_000, 1_000_000, 1, 2
 #: Times a history, and a word after it, must have been seen; up to which count discounts hold.
-HISTORY, FOLLOWER, DISCOUNTED = 20, 2, 5
+HISTORY, FOLLOWER, DISCOUNTED = 5, 2, 5
 #: Tokens of one history in a partition; words, and pairs asked for, in a partition.
-SPLIT, WORDS, PAIRS = 500_000, 1_000_000, 1_000_000
+SPLIT, WORDS, PAIRS = 500_000, 700_000, 700_000
 
 
 def discounts(times: np.ndarray) -> np.ndarray:
