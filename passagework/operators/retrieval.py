@@ -55,9 +55,10 @@ def lexical(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def dense(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, cid, dense) of all pairs: a matrix product per batch with the questions' matrix, whose size is checked."""
-    if questions.count() > QUESTIONS:
+    few = questions.select("qid", "qv").limit(QUESTIONS + 1).toPandas()
+    if len(few) > QUESTIONS:
         return questions.select("qid", "qv").join(chunks.select("cid", "cv")).select("qid", "cid", T.dot(F.col("qv"), F.col("cv")).alias("dense"))
-    few = questions.select("qid", "qv").orderBy("qid").toPandas()
+    few = few.sort_values("qid")
     ids = few["qid"].to_numpy(np.int64)
     matrix = np.stack([np.asarray(v, np.float64) for v in few["qv"]]).T if len(ids) else np.zeros((0, 0))
 
