@@ -31,11 +31,11 @@ from passagework.llm import storage
 from passagework.llm.components import components
 from passagework.llm.textbytes import chunks, column_bytes, lowered, spaces, starts, words
 
-CHUNK, SAMPLE, BLOCK = 2_000_000, 20_000, 4_096
+CHUNK, SAMPLE, BLOCK = 2_000_000, 20_000, 8_192
 #: Leaders that a component of near_duplicates gets in its first, second, ... turn.
-LEADERS = [1, 8, 64]
+LEADERS = [1, 8, 64, 512, 4096]
 #: Cost of a probe row and of a compared pair, in ns: they weigh the plan only.
-ROW_NS, PAIR_NS = 1_500, 4
+ROW_NS, PAIR_NS = 10_000, 4
 _lanes = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
 
 
@@ -153,8 +153,20 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def forest(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join what links within each group (runs of equal numbers), one at most for each row; one end of a link is a centre."""
+def _joined(values: np.ndarray, centres: np.ndarray, radius: int, label: np.ndarray) -> np.ndarray:
+    """Labels (least members) of components, after the links of the centres are added to those that labels state."""
+    for c in centres:
+        met = label[np.bitwise_count(values ^ values[c]) <= radius]
+        if met.min() != met.max():
+            label[np.isin(label, np.unique(met))] = met.min()
+    return label
+
+
+def forest(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what links within each group (runs of equal numbers), one at most for each row; one end of a link is a centre.
+
+    side: 0, or which of two blocks (1, 2) a row is of. What links within a block is joined elsewhere, so a
+    pair of blocks yields only edges between components of the blocks."""
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     size = np.diff(np.append(first, len(group)))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -170,12 +182,15 @@ def forest(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: in
         right.append(other[hit])
     for g in np.flatnonzero(size > 64):
         own = values[first[g] : first[g] + size[g]]
+        centres, half = np.flatnonzero(centre[first[g] : first[g] + size[g]]), side[first[g] : first[g] + size[g]]
         label = np.arange(size[g])
-        for c in np.flatnonzero(centre[first[g] : first[g] + size[g]]):
-            met = label[np.bitwise_count(own ^ own[c]) <= radius]
-            if met.min() != met.max():
-                label[np.isin(label, np.unique(met))] = met.min()
-        apart = np.flatnonzero(label != np.arange(size[g]))
+        for k in (1, 2) if half.any() else ():
+            part = np.flatnonzero(half == k)
+            if len(part):
+                label[part] = part[_joined(own[part], np.searchsorted(part, centres[half[centres] == k]), radius, np.arange(len(part)))]
+        within = label.copy()
+        label = _joined(own, centres, radius, label)
+        apart = np.flatnonzero((within == np.arange(size[g])) & (label != within))
         left.append(first[g] + apart)
         right.append(first[g] + label[apart])
     left, right = np.concatenate(left), np.concatenate(right)
@@ -184,26 +199,12 @@ def forest(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: in
     return values[apart], values[root[apart]]
 
 
-def every_link(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All links within each group with a centre at one end, least value first."""
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    size = np.diff(np.append(first, len(group)))
-    left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for g in np.flatnonzero(size > 1):
-        own = values[first[g] : first[g] + size[g]]
-        for c in np.flatnonzero(centre[first[g] : first[g] + size[g]]):
-            met = own[(np.bitwise_count(own ^ own[c]) <= radius) & (own != own[c])]
-            left.append(np.minimum(met, own[c]))
-            right.append(np.maximum(met, own[c]))
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _buckets(radius: int, found):
+def _buckets(radius: int):
     def run(batches):
         kept = None
 
         def edges(rows):
-            a, b = found(rows["fp"].to_numpy().view(np.uint64), rows["centre"].to_numpy(zero_copy_only=False), rows["group"].to_numpy(), radius)
+            a, b = forest(rows["fp"].to_numpy().view(np.uint64), rows["centre"].to_numpy(zero_copy_only=False), rows["group"].to_numpy(), radius, rows["side"].to_numpy())
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in batches:
@@ -219,8 +220,8 @@ def _buckets(radius: int, found):
     return run
 
 
-def links(nodes: DataFrame, radius: int, found=forest) -> DataFrame:
-    """(a, b) edges whose components are those of all distinct fingerprints (column fp) within the radius; with every_link, all such pairs, repeats included."""
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """(a, b) edges whose components are those of all distinct fingerprints (column fp) within the radius."""
     total = max(1_000, nodes.count())
     few = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
     tried = probes(plan(few, total, radius))
@@ -230,8 +231,8 @@ def links(nodes: DataFrame, radius: int, found=forest) -> DataFrame:
     heavy = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
     rows = rows.join(heavy, "group", "left").withColumn("blocks", F.expr(f"cast(coalesce(ceil(n / {BLOCK}), 1) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("fp", "centre", F.expr("if(blocks = 1, group, xxhash64(group, least(own, other), greatest(own, other)))").alias("group"))
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_buckets(radius, found), "a bigint, b bigint")
+    rows = rows.select("fp", "centre", F.expr("if(blocks = 1, group, xxhash64(group, least(own, other), greatest(own, other)))").alias("group"), F.expr("if(own = other, 0, if(own < other, 1, 2))").alias("side"))
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_buckets(radius), "a bigint, b bigint")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -298,12 +299,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """The rows of docs without near-duplicates: of each group one stays, all its columns with it.
 
     Texts within the radius of each other are candidates; they are sought within the components that such
-    links make. In three turns, the rows with the least keys of a component become leaders; a leader stays
-    if no earlier leader of its turn is similar, and what is similar to one that stays goes (similar: at
-    least `similarity` of the distinct shingles of both are shared). A turn compares a row with few leaders,
-    so dense groups are done by then. All pairs within the radius among the rest are compared, and again
-    rows without a similar earlier row stay and those similar to them go, until no similar pair is left. So
-    each row that goes is similar to a row that stays. Keys are ids, or row numbers where ids repeat or are null."""
+    links make. In turns, the rows with the least keys of a component become leaders (few at first, so that
+    dense groups are done soon, then more); a leader stays if no earlier leader of its turn is similar, and
+    what is similar to one that stays goes (similar: at least `similarity` of the distinct shingles of both
+    are shared). The rest takes the next turn, until none is left. So each row that goes is similar to a
+    row that stays. Keys are ids, or row numbers where ids repeat or are null."""
     rows, own = storage.keyed(docs, id_col, text_col)
     if own:  # number whole rows
         whole = storage.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
@@ -317,24 +317,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
     left = rows.join(members.join(several, "root").withColumnRenamed("k", "_k"), "_k").select(F.col("_k").alias("k"), "root", "fp", "_text")
     sets = storage.saved(left.mapInArrow(_sets(size), "k bigint, root bigint, fp bigint, shingles binary"), "sets")
-    left, gone = sets.select("k", "root", "fp"), []
-    for most in LEADERS:
+    left, gone, turn = sets.select("k", "root", "fp"), [sets.select("k").limit(0)], 0
+    while left.limit(1).count():
         place = F.row_number().over(Window.partitionBy("root").orderBy("k"))
-        leaders = storage.saved(left.withColumn("place", place).where(F.col("place") <= most).select("root", F.col("k").alias("leader"), F.col("fp").alias("own")), "leaders")
+        leaders = left.withColumn("place", place).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)])
+        leaders = storage.saved(leaders.select("root", F.col("k").alias("leader"), F.col("fp").alias("own")), "leaders")
         near = (F.col("k") > F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius)
         tried = _similar(left.alias("l").join(leaders.alias("r"), (F.col("l.root") == F.col("r.root")) & near).select("k", "leader"), sets, similarity)
         first = leaders.select("leader").join(tried.select(F.col("k").alias("leader")), "leader", "left_anti")  # no earlier leader is similar
         gone.append(storage.saved(tried.join(first, "leader", "left_semi").select("k").distinct(), "gone"))
         left = storage.saved(left.join(gone[-1], "k", "left_anti").join(first.withColumnRenamed("leader", "k"), "k", "left_anti"), "left")
-    pairs = links(left.select("fp").distinct(), radius, every_link).distinct().unionByName(left.select(F.col("fp").alias("a"), F.col("fp").alias("b")).distinct())
-    one, other = left.select(F.col("k").alias("k1"), F.col("fp").alias("a")), left.select(F.col("k").alias("k2"), F.col("fp").alias("b"))
-    pairs = pairs.join(one, "a").join(other, "b").where("k1 <> k2").select(F.greatest("k1", "k2").alias("k"), F.least("k1", "k2").alias("leader")).distinct()
-    edges = _similar(pairs, sets, similarity)
-    while edges.limit(1).count():
-        first = edges.select("leader").distinct().join(edges.select(F.col("k").alias("leader")), "leader", "left_anti")
-        gone.append(storage.saved(edges.join(first, "leader", "left_semi").select("k").distinct(), "gone"))
-        fell = gone[-1]
-        edges = storage.saved(edges.join(fell, "k", "left_anti").join(fell.withColumnRenamed("k", "leader"), "leader", "left_anti"), "edges")
+        turn += 1
     lost = gone[0]
     for more in gone[1:]:
         lost = lost.unionByName(more)
