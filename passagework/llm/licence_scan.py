@@ -48,11 +48,12 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, digest (null without letters and digits), licence (of the whole text, or null), notices (sorted array of licences)."""
     rows, _ = storage.keyed(docs, id_col, text_col)
     texts, notices = known(docs.sparkSession)
-    form = rows.select("_k", "_id", lines(F.col("_text")).alias("form")).select("_k", "_id", F.sha2(F.nullif(whole(F.col("form")), F.lit("")), 256).alias("digest"), "form")
-    each = form.select("_k", F.explode(F.split("form", "\n")).alias("line")).select("_k", F.sha2(F.trim("line"), 256).alias("digest"))
-    named = each.join(F.broadcast(notices), "digest").groupBy("_k").agg(F.sort_array(F.collect_set("licence")).alias("notices"))
-    joined = form.drop("form").join(F.broadcast(texts), "digest", "left").join(named, "_k", "left")
-    return joined.select(F.col("_id").alias(id_col), "digest", "licence", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    form = rows.select("_k", "_id", lines(F.col("_text")).alias("form"))
+    form = form.select("_k", "_id", F.sha2(F.nullif(whole(F.col("form")), F.lit("")), 256).alias("digest"), F.explode_outer(F.split("form", "\n")).alias("line"))
+    each = form.select("_k", "_id", "digest", F.sha2(F.trim("line"), 256).alias("line"))
+    named = each.join(F.broadcast(notices.select(F.col("digest").alias("line"), F.col("licence").alias("notice"))), "line", "left")
+    named = named.groupBy("_k", "_id", "digest").agg(F.sort_array(F.collect_set("notice")).alias("notices"))
+    return named.join(F.broadcast(texts), "digest", "left").select(F.col("_id").alias(id_col), "digest", "licence", "notices")
 
 
 def _quoted(text: str) -> str:
