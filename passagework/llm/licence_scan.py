@@ -49,7 +49,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, _ = storage.keyed(docs, id_col, text_col)
     texts, notices = known(docs.sparkSession)
     form = rows.select("_k", "_id", lines(F.col("_text")).alias("form"))
-    form = form.select("_k", "_id", F.sha2(F.nullif(whole(F.col("form")), F.lit("")), 256).alias("digest"), F.explode_outer(F.split("form", "\n")).alias("line"))
+    form = form.select("_k", "_id", F.sha2(F.nullif(whole(F.col("form")), F.lit("")), 256).alias("digest"), F.split("form", "\n").alias("each"))
+    form = form.select("_k", "_id", "digest", F.explode_outer("each").alias("line"))  # the digest is made before, not for each line
     each = form.select("_k", "_id", "digest", F.sha2(F.trim("line"), 256).alias("line"))
     named = each.join(F.broadcast(notices.select(F.col("digest").alias("line"), F.col("licence").alias("notice"))), "line", "left")
     named = named.groupBy("_k", "_id", "digest").agg(F.sort_array(F.collect_set("notice")).alias("notices"))
