@@ -91,15 +91,22 @@ class Batch:
 
     def ask(self, count: np.ndarray, texts: int, parts: int) -> dict:
         """The pairs that may be stored, in the order of their partitions: runs of one history (with its
-        share of a split one), followers in order of hash; asked: for each token, the place of its pair or -1."""
+        share of a split one), followers in order of hash; asked: for each token, the place of its pair or -1.
+        A history without such a pair here asks with one pair that is counted no times, for its sums."""
         n = len(self.kinds)
         history = np.concatenate(([n], self.token[:-1]))
         history[self.first] = n
         seen = np.append(count, texts)
-        good = np.flatnonzero((seen[history] >= HISTORY) & (count[self.token] >= FOLLOWER))
-        pair, inverse = np.unique(history[good] * n + self.token[good], return_inverse=True)
+        kept = seen[history] >= HISTORY
+        good = np.flatnonzero(kept & (count[self.token] >= FOLLOWER))
+        bare = np.ones(n + 1, bool)
+        bare[history[good]] = False
+        bare = np.flatnonzero(kept & bare[history])
+        bare = bare[np.unique(history[bare], return_index=True)[1]]
+        pair, inverse = np.unique(np.concatenate([history[good] * n + self.token[good], history[bare] * n + self.token[bare]]), return_inverse=True)
         before, after = pair // max(n, 1), pair % max(n, 1)
-        times = np.bincount(inverse, self.learned()[good], len(pair)).astype(np.int64)
+        times = np.bincount(inverse, np.concatenate([self.learned()[good], np.zeros(len(bare), bool)]), len(pair)).astype(np.int64)
+        inverse = inverse[: len(good)]
         name = mixed(np.append(self.kinds, np.uint64(BEGIN)))[before]
         shares = -(-seen[before] // SPLIT)
         follower = mixed(self.kinds)[after]

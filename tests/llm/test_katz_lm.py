@@ -87,6 +87,21 @@ def compare(spark, split):
         assert abs(sum(model.p(h, w) for w in [*model.uni, "unknown word"]) - 1) < 1e-9
 
 
+def test_history_whose_stored_followers_are_in_another_batch(spark, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", 40)
+    cloudpickle.register_pickle_by_value(K)
+    try:
+        texts = ["the cat sat the cat ran", "the cat the dog the cat", "the dog sat the dog ran", "the unheard", "cat unheard the unseen"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.score for r in K.katz_scores(docs, F.col("doc_id") >= 3).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(K)
+    model = Brute(texts[:3])
+    for i, t in enumerate(texts):
+        w = tokens(t)
+        assert abs(got[i] - sum(math.log10(model.p(h, x)) for h, x in zip(["<begin>", *w], w))) < 1e-9
+
+
 def test_empty_and_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert K.katz_scores(docs.limit(0), F.lit(False)).count() == 0
