@@ -9,7 +9,7 @@ partitions by the following word, and only the sums for its back-off weight are
 
 P(w | h) = d(c(h, w)) c(h, w) / c(h) for a stored pair, else alpha(h) P(w); P(w) = d(c(w)) c(w) / N for a
 known word, and the mass left is that of the one unknown word. A pair is stored if h was seen HISTORY
-times and w twice; any other history backs off with weight 1. Every distribution adds up to 1 over the
+times and w FOLLOWER times, which is every pair seen; a history never seen backs off with weight 1. Every distribution adds up to 1 over the
 known words, the end and the unknown word.
 
 Null texts are empty (one token: the end); a null id counts as not held out; repeated rows count twice;
@@ -34,7 +34,7 @@ from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, mixed
 #: Bytes of text in a batch, and of those that are hashed at once; hashes that stand for the end of a text and for its beginning.
 CHUNK, PIECE, END, BEGIN = 5_000_000, 1_000_000, 1, 2
 #: Times a history, and a word after it, must have been seen; up to which count discounts hold.
-HISTORY, FOLLOWER, DISCOUNTED = 5, 2, 5
+HISTORY, FOLLOWER, DISCOUNTED = 1, 1, 5
 #: Tokens of one history in a partition; words, and pairs asked for, in a partition.
 SPLIT, WORDS, PAIRS = 500_000, 700_000, 700_000
 

@@ -102,6 +102,20 @@ def test_history_whose_stored_followers_are_in_another_batch(spark, monkeypatch)
         assert abs(got[i] - sum(math.log10(model.p(h, x)) for h, x in zip(["<begin>", *w], w))) < 1e-9
 
 
+def test_every_pair_seen_is_stored(spark, monkeypatch):
+    texts = ["rare pair once", "the other pair twice", "the other pair here", "rare pair once", "new pair once", "other rare words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in K.katz_scores(docs, F.col("doc_id") >= 3).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(K, "HISTORY", 1)
+        m.setattr(K, "FOLLOWER", 1)
+        model = Brute(texts[:3])
+    assert model.bi[("rare", "pair")] == 1
+    for i, t in enumerate(texts):
+        w = tokens(t)
+        assert abs(got[i] - sum(math.log10(model.p(h, x)) for h, x in zip(["<begin>", *w], w))) < 1e-9
+
+
 def test_empty_and_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     assert K.katz_scores(docs.limit(0), F.lit(False)).count() == 0
