@@ -3,11 +3,12 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passagework.llm.simhash_dedup import near_duplicates
+from passagework.llm.simhash_dedup import _completed, fingerprints, near_duplicates
 
 STEMS = {"en": ["the", "and", "thing", "ever", "rest", "wh", "or", "ly"], "de": ["der", "und", "schen", "heit", "zu", "ich", "auf", "ein"]}
 
@@ -59,6 +60,43 @@ def test_near_duplicates(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_similar_texts_with_distant_fingerprints(spark):
+    rng = random.Random(8)
+    rows, far, i = [], 0, 0
+    while far < 12:
+        text = prose(rng, 120)
+        w = text.split(" ")
+        for at in rng.sample(range(len(w)), 2):
+            w[at] = "changed"
+        other = " ".join([*w, *prose(rng, 12).split(" ")]) if i % 2 else " ".join(w)
+        i += 1
+        data = np.frombuffer((text + other).encode(), np.uint8)
+        a, b = fingerprints(data, np.array([0, len(text), len(data)]), 5)
+        if alike(text, other) and int(a ^ b).bit_count() > 12:
+            rows += [(2 * i, text), (2 * i + 1, other)]
+            far += 1
+    rows += [(100_000 + i, prose(rng, 100)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in near_duplicates(docs).collect()}
+    assert kept == {i for i, _ in rows if i >= 100_000 or i % 2 == 0}
+
+
+def test_rows_that_went_for_a_leader_that_goes_are_taken_up_again(spark):
+    rng = random.Random(9)
+    texts = {i: prose(rng, 60) for i in range(20)}
+    for i in range(6):  # b is like a, c like b, c not like a
+        w = prose(rng, 200).split(" ")
+        b, c = w + prose(rng, 40).split(" "), w + prose(rng, 40).split(" ")
+        texts |= {100 + 3 * i: " ".join(w), 101 + 3 * i: " ".join(b), 102 + 3 * i: " ".join([*b[12:], *c[-12:]])}
+    rows = spark.createDataFrame(list(texts.items()), "k long, _text string")
+    lost = [(102 + 3 * i, 101 + 3 * i) for i in range(6)]
+    stay = spark.createDataFrame([(k,) for k in texts if k not in dict(lost)], "k long")
+    kept = {r.k for r in _completed(rows, stay, spark.createDataFrame(lost, "k long, leader long"), 5, 0.8).collect()}
+    assert not any(alike(texts[a], texts[b]) for a in kept for b in kept if a < b)
+    assert all(any(alike(texts[a], texts[b]) for b in kept) for a in texts)
+    assert kept & set(dict(lost)) and not kept & set(dict(lost).values())
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     rng = random.Random(5)
