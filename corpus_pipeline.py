@@ -6,6 +6,7 @@ return the columns of documents. A stage's operator says what it does with nulls
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,16 +32,48 @@ def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return near_duplicates(docs).select(COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a key of its own for each row (_row): the id where it is unique and never null, else a row number, written once."""
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if not again.limit(1).count():
+        return docs.withColumn("_row", F.col("doc_id"))
+    return storage.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
+def whole_characters():
+    """The texts without the byte ranges of spans and without what these leave of a character they cut."""
+
+    def left(one, ranges):
+        data, out, at = one.encode(), [], 0
+        for r in ranges:
+            a, b = r["start"], r["end"]
+            while a > at and a < len(data) and data[a] & 0xC0 == 0x80:
+                a -= 1
+            out.append(data[at:a])
+            while b < len(data) and data[b] & 0xC0 == 0x80:
+                b += 1
+            at = b
+        return b"".join([*out, data[at:]]).decode()
+
+    def run(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([left(*x) for x in zip(text, spans)], dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
 def passages_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes that also start elsewhere; a character that is cut in two goes."""
-    found = suffix_dedup(docs).select("doc_id", F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")).alias("text"))
-    return docs.drop("text", "n_chars").join(found, "doc_id").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Texts without the passages of 200 bytes that also start elsewhere; a character that is cut in two goes. Null texts become empty."""
+    rows = numbered(docs)
+    found = suffix_dedup(rows, "_row").select("_row", "spans")
+    text = F.coalesce("text", F.lit(""))
+    return rows.join(found, "_row").withColumn("text", F.when(F.size("spans") > 0, whole_characters()(text, "spans")).otherwise(text)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("contaminated").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    rows = numbered(docs)
+    found = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_row")
+    return rows.join(found.where("contaminated").select("_row"), "_row", "left_anti").select(COLUMNS)
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,6 +134,21 @@ def test_stages(spark, folder):
         assert r.decoded_sha256 == hashlib.sha256(seen[3][i].text.encode()).hexdigest() and r.n_tokens == len(r.ids.split(","))
 
 
+def test_rows_without_an_id_of_their_own(spark, folder):
+    where, texts, _ = folder
+    rng = random.Random(11)
+    leak = next(r.text for r in spark.read.parquet(f"{where}/benchmark.parquet").collect() if r.item_id == 7)
+    same = " ".join(f"é{k}ü" for k in range(60))
+    rows = [(None, "null id \ufffd stays " + prose(rng, 30), "a", "s1", 0), (1, prose(rng, 40), "b", "s2", 0), (1, prose(rng, 41) + " " + leak, "c", "s3", 0), (2, "a" + same + "a \ufffd", "d", "s4", 0), (3, "b" + same + "b", "e", "s5", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.source: r for r in corpus_pipeline.passages_removed(spark, docs, where).collect()}
+    assert len(got) == corpus_pipeline.passages_removed(spark, docs, where).count() == 5
+    for i, t, lang, source, _ in rows[:3]:
+        assert (got[source].doc_id, got[source].text, got[source].lang) == (i, t, lang)
+    assert got["s4"].text == "aa \ufffd" and got["s5"].text == "bb"
+    assert {r.source for r in corpus_pipeline.decontaminated(spark, docs, where).collect()} == {"s1", "s2", "s4", "s5"}
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     where, texts, _ = folder
     assert {r.doc_id for r in corpus_pipeline.run(spark, where).collect()} == set(texts) - {100, 101, 110, 111, 112}
