@@ -1,42 +1,48 @@
-"""Katz back-off word bigrams: Good-Turing discounts, exactly normalised back-off weights.
-
-Texts become batches of token numbers, stored once, bucketed by batch. The counts live in tables that are
-partitioned by the hash of a word, or of a history. A batch asks each partition once for the words or
-pairs that it has, in sorted arrays; a partition adds up what all batches have counted and answers every
-batch in the order in which it asked. So a token costs no join row, and what is shuffled grows with the
-distinct words and pairs of a batch of text. A history with over SPLIT tokens is dealt over several
-partitions by the following word, and only the sums for its back-off weight are put together.
-
-P(w | h) = d(c(h, w)) c(h, w) / c(h) for a stored pair, else alpha(h) P(w); P(w) = d(c(w)) c(w) / N for a
-known word, and the mass left is that of the one unknown word. A pair is stored if h was seen HISTORY
-times and w FOLLOWER times, which is every pair seen; a history never seen backs off with weight 1. Every distribution adds up to 1 over the
-known words, the end and the unknown word.
+"""Katz back-off word model of any order: Good-Turing discounts, exactly normalised back-off weights.
+
+Texts become batches of token numbers, stored once, bucketed by batch. The counts of each order live in
+tables that are partitioned by the hash of a word, or of a history. A batch asks each partition once for the
+words or n-grams that it has; a partition adds up what all batches have counted and answers every batch in
+the order in which it asked. So a token costs no join row, and what is shuffled grows with the distinct
+n-grams of a batch of text. A history with over SPLIT tokens is dealt over several partitions by the
+following word, and only the sums for its back-off weight are put together.
+
+P(w | h) = d(c(h, w)) c(h, w) / c(h) for an n-gram that was seen, else alpha(h) P(w | h without its first
+word), down to P(w) = d(c(w)) c(w) / N for a known word, and the mass left is that of the one unknown word.
+Every n-gram seen is stored; a history never seen backs off with weight 1. Orders are evaluated one after
+the other: an n-gram asks with the probability that the order below gives its word, so that a partition can
+add up the exact back-off mass of a history. Every distribution adds up to 1 over the known words, the end
+and the unknown word. Before a text there are order - 1 signs of its beginning. Words and n-grams are told
+apart by 64-bit hashes, followers of one history by 48 bits.
 
 Null texts are empty (one token: the end); a null id counts as not held out; repeated rows count twice;
-columns other than id and text are ignored; an empty table gives an empty result. Without any training
-text all words are unknown.
+a text longer than CHUNK is a batch of its own; columns other than id and text are ignored; an empty table
+gives an empty result. Without any training text all words are unknown. What is broadcast or collected is
+a few numbers for each order.
 """
 
 from __future__ import annotations
 
-import uuid
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import storage
-from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, mixed, packed, starts, unpacked, words
+from passagework.llm.textbytes import Sums, bundled, chunks, column_bytes, lowered, mixed, starts, unbundled, words
 
+#: Words in an n-gram.
+ORDER = 3
 #: Bytes of text in a batch, and of those that are hashed at once; hashes that stand for the end of a text and for its beginning.
-CHUNK, PIECE, END, BEGIN = 5_000_000, 1_000_000, 1, 2
-#: Times a history, and a word after it, must have been seen; up to which count discounts hold.
-HISTORY, FOLLOWER, DISCOUNTED = 1, 1, 5
-#: Tokens of one history in a partition; words, and pairs asked for, in a partition.
-SPLIT, WORDS, PAIRS = 500_000, 700_000, 700_000
+CHUNK, PIECE, END, BEGIN = 2_500_000, 1_000_000, 1, 2
+#: Up to which count discounts hold.
+DISCOUNTED = 5
+#: Tokens of one history in a partition; words, and tokens whose n-grams are asked for, in a partition.
+SPLIT, WORDS, PAIRS = 250_000, 500_000, 500_000
+#: Bytes that go to a Python worker at once.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def discounts(times: np.ndarray) -> np.ndarray:
@@ -69,6 +75,14 @@ class Unigrams:
         return np.where(count > 0, discounted(count, self.table) / self.below, self.unknown)
 
 
+class Setting:
+    """What is known before an order is evaluated: training texts, partitions, the model of words, and the discounts of orders 2 and up."""
+
+    def __init__(self, texts: int, word_parts: int, parts: int, model: Unigrams):
+        self.texts, self.word_parts, self.parts, self.model = texts, word_parts, parts, model
+        self.tables: list[np.ndarray] = []
+
+
 def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
@@ -77,11 +91,86 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1]))) if len(sorted_values) else np.zeros(0, np.int64)
 
 
+def _pieces(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(partition, from, to) of the runs of equal partitions."""
+    edge = np.append(_runs(part), len(part))
+    return [(int(part[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:])]
+
+
+def _steps(values: np.ndarray) -> np.ndarray:
+    """Differences of a sorted array, which take fewer bytes; np.cumsum turns them back."""
+    return np.diff(values, prepend=np.uint64(0))
+
+
+#: Of a history: n-grams seen 1..DISCOUNTED times, tokens of the others, mass of its followers one order below.
+SUMS = DISCOUNTED + 2
+
+
+class Level:
+    """The n-grams of one order in a batch: at, the n-gram that ends at each token; of each n-gram its name, count and probability."""
+
+    def __init__(self, at: np.ndarray, name: np.ndarray, count: np.ndarray, chance: np.ndarray):
+        self.at, self.name, self.count, self.chance = at, name, count, chance
+
+
+class Asked:
+    """The n-grams of the next order, and those of them whose history was seen, in the order of their partitions."""
+
+    def __init__(self, batch: "Batch", below: Level, order: int, set_: Setting):
+        n, m = len(batch.kinds), len(below.name)
+        history = np.concatenate(([m], below.at[:-1]))
+        history[batch.first] = m
+        gram, self.at = np.unique(history * n + batch.token, return_inverse=True)
+        self.history, self.word = gram // n, gram % n
+        self.lower = np.empty(len(gram))
+        self.lower[self.at] = below.chance[below.at]
+        name, seen = np.append(below.name, mixed(np.array([BEGIN + order], np.uint64))), np.append(below.count, set_.texts)
+        self.seen = seen[self.history]
+        follower = mixed(batch.kinds + np.uint64(3))[self.word]
+        self.name = mixed(name[self.history] + follower * np.uint64(2 * order + 1))
+        spot = name[self.history]
+        shares = -(-self.seen // SPLIT)
+        split = np.flatnonzero(shares > 1)
+        spot[split] = mixed(spot[split] + follower[split] % shares[split].astype(np.uint64) + np.uint64(1))
+        self.some = np.flatnonzero(self.seen > 0)
+        self.some = self.some[np.argsort(spot[self.some], kind="stable")]
+        self.spot, self.follower = spot[self.some], follower[self.some] >> np.uint64(16)
+        self.part = _part(self.spot, set_.parts)
+        self.begin = _runs(self.spot)
+        self.whole = name[self.history[self.some[self.begin]]]
+        self.split = shares[self.some[self.begin]] > 1
+        self.times = np.bincount(self.at, batch.learned(), len(gram)).astype(np.uint64)[self.some]
+
+    def answered(self, row: dict, order: int, table: np.ndarray) -> Level:
+        count, chance = np.zeros(len(self.name), np.int64), self.lower.copy()
+        if len(self.some):
+            parts = [unbundled(x["blob"], np.uint64, np.uint8, np.float64) for x in sorted(row[f"answers{order}"], key=lambda x: x["part"])]
+            found = np.concatenate([x[0] for x in parts]).astype(np.int64)
+            need = np.concatenate([x[1] for x in parts]).astype(bool)
+            sums = np.zeros((len(need), SUMS))
+            sums[need] = np.concatenate([x[2].reshape(SUMS, -1).T for x in parts])
+            if self.split.any():
+                shared = {x["name"]: x["share"] for x in row[f"shares{order}"]}
+                for i in np.flatnonzero(self.split):
+                    sums[i] = shared[int(self.whole[i : i + 1].view(np.int64)[0])]
+                need |= self.split
+            below = self.seen[self.some[self.begin]].astype(np.float64)
+            back = np.ones(len(need))
+            used = sums[need, :DISCOUNTED] @ (table[1:] * np.arange(1, DISCOUNTED + 1)) + sums[need, -2]
+            below[need] = np.where(used < below[need] * (1 - 1e-12), below[need], below[need] + 1)
+            back[need] = (1 - used / below[need]) / (1 - sums[need, -1])
+            run = np.repeat(np.arange(len(need)), np.diff(np.append(self.begin, len(self.some))))
+            count[self.some] = found
+            chance[self.some] = np.where(found > 0, discounted(found, table) / below[run], back[run] * self.lower[self.some])
+        return Level(self.at, self.name, count, chance)
+
+
 class Batch:
     """Token numbers of some texts; kinds holds their hashes in order."""
 
     def __init__(self, row: dict):
-        self.kinds, self.token = unpacked(row["kinds"], np.uint64), unpacked(row["token"], np.int32).astype(np.int64)
+        kinds, _, token = unbundled(row["blob"], np.uint64, np.uint32, np.uint32)
+        self.kinds, self.token = np.cumsum(kinds, dtype=np.uint64), token.astype(np.int64)
         self.held = np.array(row["held"], bool)
         self.sizes = np.array(row["sizes"], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -89,37 +178,16 @@ class Batch:
     def learned(self) -> np.ndarray:
         return np.repeat(~self.held, self.sizes)
 
-    def ask(self, count: np.ndarray, texts: int, parts: int) -> dict:
-        """The pairs that may be stored, in the order of their partitions: runs of one history (with its
-        share of a split one), followers in order of hash; asked: for each token, the place of its pair or -1.
-        A history without such a pair here asks with one pair that is counted no times, for its sums."""
-        n = len(self.kinds)
-        history = np.concatenate(([n], self.token[:-1]))
-        history[self.first] = n
-        seen = np.append(count, texts)
-        kept = seen[history] >= HISTORY
-        good = np.flatnonzero(kept & (count[self.token] >= FOLLOWER))
-        bare = np.ones(n + 1, bool)
-        bare[history[good]] = False
-        bare = np.flatnonzero(kept & bare[history])
-        bare = bare[np.unique(history[bare], return_index=True)[1]]
-        pair, inverse = np.unique(np.concatenate([history[good] * n + self.token[good], history[bare] * n + self.token[bare]]), return_inverse=True)
-        before, after = pair // max(n, 1), pair % max(n, 1)
-        times = np.bincount(inverse, np.concatenate([self.learned()[good], np.zeros(len(bare), bool)]), len(pair)).astype(np.int64)
-        inverse = inverse[: len(good)]
-        name = mixed(np.append(self.kinds, np.uint64(BEGIN)))[before]
-        shares = -(-seen[before] // SPLIT)
-        follower = mixed(self.kinds)[after]
-        spot = np.where(shares > 1, mixed(name + follower % np.maximum(shares, 1).astype(np.uint64) + np.uint64(1)), name)
-        part = _part(spot, parts)
-        order = np.argsort(part, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        asked = np.full(len(self.token), -1, np.int64)
-        asked[good] = place[inverse]
-        part, before = part[order], before[order]
-        begin = _runs(part * (n + 2) + before)
-        return {"part": part, "before": before, "history": history, "follower": follower[order] >> np.uint64(16), "times": times[order], "count": count[after[order]], "begin": begin, "name": name[order][begin], "split": shares[order][begin] > 1, "asked": asked}
+    def words(self, row: dict, model: Unigrams) -> Level:
+        count = np.concatenate([unbundled(x["blob"], np.uint64)[0] for x in sorted(row["answers1"], key=lambda x: x["part"])]).astype(np.int64)
+        return Level(self.token, self.kinds, count, model.of(count))
+
+    def level(self, row: dict, order: int, set_: Setting) -> Level:
+        """The highest of the orders that have been answered."""
+        found = self.words(row, set_.model)
+        for k in range(2, order + 1):
+            found = Asked(self, found, k, set_).answered(row, k, set_.tables[k - 2])
+        return found
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,81 +221,69 @@ def _batches(ids: str):
                 times = np.bincount(token, learned, len(kinds)).astype(np.uint32)
                 yield pa.RecordBatch.from_pydict({
                     "batch": [at], "ids": pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(batch.column(0).type)), "held": [held.to_pylist()], "sizes": pa.array([sizes.tolist()], pa.list_(pa.int32())),
-                    "kinds": [packed(kinds)], "times": [packed(times)], "token": [packed(token.astype(np.int32))], "n_kinds": [len(kinds)], "n_tokens": [len(token)],
+                    "blob": [bundled(_steps(kinds), times, token.astype(np.uint32))], "n_kinds": [len(kinds)], "n_tokens": [len(token)],
                 })
                 at += 1
 
-    return run, f"batch bigint, ids array<{ids}>, held array<boolean>, sizes array<int>, kinds binary, times binary, token binary, n_kinds bigint, n_tokens bigint"
+    return run, f"batch bigint, ids array<{ids}>, held array<boolean>, sizes array<int>, blob binary, n_kinds bigint, n_tokens bigint"
+
+
+ASKED = "part bigint, batch bigint, blob binary"
+
+
+def _asking(pieces: list, batch: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in pieces], pa.int64()), pa.array([batch] * len(pieces), pa.int64()), pa.array([b for _, b in pieces], pa.binary())], ["part", "batch", "blob"])
 
 
 def _words_asked(parts: int):
     def run(batches):
         for row in _rows(batches):
-            kinds, times = unpacked(row["kinds"], np.uint64), unpacked(row["times"], np.uint32)
-            part = _part(mixed(kinds), parts)
-            order = np.argsort(part, kind="stable")
-            edge = np.append(_runs(part[order]), len(part))
-            some = [order[a:b] for a, b in zip(edge[:-1], edge[1:])]
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part[order][edge[:-1]], pa.int64()), "batch": pa.array([row["batch"]] * len(some), pa.int64()), "kinds": pa.array([packed(kinds[s]) for s in some], pa.binary()), "times": pa.array([packed(times[s]) for s in some], pa.binary())})
+            kinds, times, _ = unbundled(row["blob"], np.uint64, np.uint32, np.uint32)
+            kinds = np.cumsum(kinds, dtype=np.uint64)
+            yield _asking([(p, bundled(_steps(kinds[a:b]), times[a:b])) for p, a, b in _pieces(_part(kinds, parts))], row["batch"])
 
-    return run, "part bigint, batch bigint, kinds binary, times binary"
+    return run
 
 
-ANSWER = "batch bigint, part bigint, counts binary, sums binary, kinds bigint, total bigint, n array<bigint>"
+def _asked(order: int, set_: Setting):
+    """What each batch asks for in this order."""
 
+    def run(batches):
+        for row in _rows(batches):
+            own = Batch(row)
+            a = Asked(own, own.level(row, order - 1, set_), order, set_)
+            length = np.diff(np.append(a.begin, len(a.some))).astype(np.uint32)
+            lower, out = a.lower[a.some], []
+            for part, x, y in _pieces(a.part):
+                i, j = np.searchsorted(a.begin, (x, y))
+                chances, which = np.unique(lower[x:y], return_inverse=True)
+                out.append((part, bundled(_steps(a.spot[a.begin[i:j]]), length[i:j], a.whole[i:j][a.split[i:j]], a.split[i:j].astype(np.uint8), a.follower[x:y], a.times[x:y], chances, which.astype(np.uint32))))
+            yield _asking(out, row["batch"])
 
-def _answers(part: int, batches: list[int], counts: list[np.ndarray], total: np.ndarray, sums: list[bytes] | None = None) -> pa.Table:
-    """Each batch's counts in its order, and a row (batch -1) with the kinds, tokens and counts of counts of a partition."""
-    few = np.bincount(total[(total > 0) & (total <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)[1:].tolist()
-    none = [None] * len(batches)
-    return pa.table({
-        "batch": pa.array([*batches, -1], pa.int64()), "part": pa.array([part] * (len(batches) + 1), pa.int64()), "counts": pa.array([*(packed(c.astype(np.uint32)) for c in counts), None], pa.binary()), "sums": pa.array([*(sums or none), None], pa.binary()),
-        "kinds": pa.array([*none, int((total > 0).sum())], pa.int64()), "total": pa.array([*none, int(total.sum())], pa.int64()), "n": pa.array([*none, few], pa.list_(pa.int64())),
-    })
+    return run
 
 
-def _count_words(group: pa.Table) -> pa.Table:
-    kinds = [unpacked(x, np.uint64) for x in group["kinds"].to_pylist()]
-    times = np.concatenate([unpacked(x, np.uint32) for x in group["times"].to_pylist()])
-    found, inverse = np.unique(np.concatenate(kinds), return_inverse=True)
-    total = np.bincount(inverse, times, len(found)).astype(np.int64)
-    edge = np.cumsum([0, *map(len, kinds)])
-    return _answers(group["part"][0].as_py(), group["batch"].to_pylist(), [total[inverse[a:b]] for a, b in zip(edge[:-1], edge[1:])], total)
+#: Answers to a batch, the counts of a partition (batch null), the batches that a split history matters to, and the sums of its shares.
+ANSWER = "batch bigint, part bigint, blob binary, kinds bigint, total bigint, n array<bigint>, name bigint, share array<double>"
 
 
-def _counts(row: dict, own: Batch, parts: int) -> np.ndarray:
-    """Training counts of the batch's words, put together from the partitions' answers."""
-    order = np.argsort(_part(mixed(own.kinds), parts), kind="stable")
-    count = np.empty(len(order), np.int64)
-    count[order] = np.concatenate([unpacked(x["counts"], np.uint32) for x in sorted(row["words"], key=lambda x: x["part"])])
-    return count
+def _answers(part: int, batches: list[int], blobs: list[bytes], total: np.ndarray, names: list[tuple[int, int]] = (), shares: list[tuple[int, list]] = ()) -> pa.Table:
+    few = np.bincount(total[(total > 0) & (total <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)[1:].tolist()
+    n, m, s = len(batches), len(names), len(shares)
+    none = lambda k: [None] * k
+    return pa.table({
+        "batch": pa.array([*batches, None, *(b for b, _ in names), *none(s)], pa.int64()), "part": pa.array([part] * (n + 1 + m + s), pa.int64()), "blob": pa.array([*blobs, *none(1 + m + s)], pa.binary()),
+        "kinds": pa.array([*none(n), int((total > 0).sum()), *none(m + s)], pa.int64()), "total": pa.array([*none(n), int(total.sum()), *none(m + s)], pa.int64()), "n": pa.array([*none(n), few, *none(m + s)], pa.list_(pa.int64())),
+        "name": pa.array([*none(n + 1), *(x for _, x in names), *(x for x, _ in shares)], pa.int64()), "share": pa.array([*none(n + 1 + m), *(x for _, x in shares)], pa.list_(pa.float64())),
+    })
 
 
-def _pairs_asked(texts: int, word_parts: int, parts: int):
-    def run(batches):
-        for row in _rows(batches):
-            own = Batch(row)
-            a = own.ask(_counts(row, own, word_parts), texts, parts)
-            edge = np.append(_runs(a["part"]), len(a["part"]))
-            length = np.diff(np.append(a["begin"], len(a["part"])))
-            out = {k: [] for k in ("part", "name", "split", "length", "follower", "times", "count")}
-            for x, y in zip(edge[:-1], edge[1:]):
-                i, j = np.searchsorted(a["begin"], (x, y))
-                out["part"].append(int(a["part"][x]))
-                out["name"].append(packed(a["name"][i:j]))
-                out["split"].append(packed(a["split"][i:j]))
-                out["length"].append(packed(length[i:j].astype(np.uint32)))
-                out["follower"].append(packed(a["follower"][x:y]))
-                out["times"].append(packed(a["times"][x:y].astype(np.uint32)))
-                out["count"].append(packed(a["count"][x:y].astype(np.uint32)))
-            blobs = {k: pa.array(v, pa.int64() if k == "part" else pa.binary()) for k, v in out.items()}
-            yield pa.RecordBatch.from_pydict({"part": blobs.pop("part"), "batch": pa.array([row["batch"]] * (len(edge) - 1), pa.int64()), **blobs})
-
-    return run, "part bigint, batch bigint, name binary, split binary, length binary, follower binary, times binary, count binary"
-
-
-#: Of a history: pairs seen 1..DISCOUNTED times, tokens of the others, mass of its followers as single words.
-SUMS = DISCOUNTED + 2
+def _count_words(group: pa.Table) -> pa.Table:
+    asked = [unbundled(x, np.uint64, np.uint32) for x in group["blob"].to_pylist()]
+    found, inverse = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in asked]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([t for _, t in asked]), len(found)).astype(np.int64)
+    edge = np.cumsum([0, *(len(k) for k, _ in asked)])
+    return _answers(group["part"][0].as_py(), group["batch"].to_pylist(), [bundled(total[inverse[a:b]].astype(np.uint64)) for a, b in zip(edge[:-1], edge[1:])], total)
 
 
 def _history_sums(run: np.ndarray, total: np.ndarray, mass: np.ndarray, n: int) -> np.ndarray:
@@ -239,105 +295,90 @@ def _history_sums(run: np.ndarray, total: np.ndarray, mass: np.ndarray, n: int)
     return out
 
 
-def _count_pairs(words_model: Unigrams):
-    def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        names = [unpacked(r["name"], np.uint64) for r in rows]
-        follower = [unpacked(r["follower"], np.uint64) for r in rows]
-        length = [unpacked(r["length"], np.uint32) for r in rows]
-        known, run_of = np.unique(np.concatenate(names), return_inverse=True)
-        edge = np.cumsum([0, *map(len, follower)])
-        run_of_pair = np.repeat(run_of, np.concatenate(length))
-        follower = np.concatenate(follower)
-        order = np.lexsort((follower, run_of_pair))
-        fresh = np.concatenate(([True], (follower[order][1:] != follower[order][:-1]) | (run_of_pair[order][1:] != run_of_pair[order][:-1])))
-        kind = np.cumsum(fresh) - 1
-        inverse = np.empty(len(order), np.int64)
-        inverse[order] = kind
-        total = np.bincount(kind, np.concatenate([unpacked(r["times"], np.uint32) for r in rows])[order], kind[-1] + 1).astype(np.int64)
-        one = order[fresh]
-        mass = words_model.of(np.concatenate([unpacked(r["count"], np.uint32) for r in rows])[one].astype(np.int64))
-        sums = _history_sums(run_of_pair[one], total, mass, len(known))
-        at = np.cumsum([0, *map(len, names)])
-        own = [sums[run_of[a:b]] for a, b in zip(at[:-1], at[1:])]
-        split = [unpacked(r["split"], np.uint8).astype(bool) for r in rows]
-        answers = _answers(rows[0]["part"], [r["batch"] for r in rows], [total[inverse[a:b]] for a, b in zip(edge[:-1], edge[1:])], total, [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.T).tobytes()) for x in own])
-        asked = [(rows[i]["batch"], int(name)) for i, s in enumerate(split) for name in names[i][s].view(np.int64)]
-        partial = np.isin(known, np.concatenate([n[s] for n, s in zip(names, split)]))
-        more = len(asked) + int(partial.sum())
-        extra = pa.table({
-            "name": pa.array([name for _, name in asked] + known[partial].view(np.int64).tolist(), pa.int64()), "asker": pa.array([b for b, _ in asked] + [None] * int(partial.sum()), pa.int64()), "share": pa.array([None] * len(asked) + sums[partial].tolist(), pa.list_(pa.float64())),
-        })
-        nothing = lambda t, n: {c: pa.nulls(n, k) for c, k in t}
-        whole = answers.append_column("name", pa.nulls(len(answers), pa.int64())).append_column("asker", pa.nulls(len(answers), pa.int64())).append_column("share", pa.nulls(len(answers), pa.list_(pa.float64())))
-        other = pa.table(nothing([(f.name, f.type) for f in answers.schema], more))
-        for c in ("name", "asker", "share"):
-            other = other.append_column(c, extra[c])
-        return pa.concat_tables([whole, other])
-
-    return run, ANSWER + ", name bigint, asker bigint, share array<double>"
-
-
-def _scored(texts: int, word_parts: int, parts: int, model: Unigrams, table: np.ndarray):
+def _count_grams(group: pa.Table) -> pa.Table:
+    batches = group["batch"].to_pylist()
+    asked = [unbundled(x, np.uint64, np.uint32, np.uint64, np.uint8, np.uint64, np.uint64, np.float64, np.uint32) for x in group["blob"].to_pylist()]
+    size = [len(x[4]) for x in asked]
+    known, run = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+    of = np.repeat(run, np.concatenate([x[1] for x in asked]))
+    follower, times, lower = np.concatenate([x[4] for x in asked]), np.concatenate([x[5] for x in asked]).astype(np.int64), np.concatenate([x[6][x[7]] for x in asked])
+    order = np.lexsort((follower, of))
+    fresh = np.concatenate(([True], (np.diff(of[order]) != 0) | (follower[order][1:] != follower[order][:-1])))
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(fresh) - 1
+    one = order[fresh]
+    total = np.bincount(kind, times, len(one)).astype(np.int64)
+    sums = _history_sums(of[one], total, lower[one], len(known))
+    split = np.concatenate([x[3] for x in asked]).astype(bool)
+    parted = np.zeros(len(known), bool)
+    parted[run[split]] = True
+    sure = ~sums[:, :DISCOUNTED].any(axis=1)  # nothing is discounted
+    edge, at = np.cumsum([0, *size]), np.cumsum([0, *(len(x[1]) for x in asked)])
+    blobs, names, shares = [], [], {}
+    for k, x in enumerate(asked):
+        own, count = run[at[k] : at[k + 1]], total[kind[edge[k] : edge[k + 1]]]
+        begin = np.cumsum(x[1], dtype=np.int64) - x[1]
+        need = (np.add.reduceat(count == 0, begin) > 0) | sure[own]
+        need &= ~x[3].astype(bool)
+        blobs.append(bundled(count.astype(np.uint64), need.astype(np.uint8), np.ascontiguousarray(sums[own[need]].T).reshape(-1)))
+        some = np.flatnonzero(x[3])
+        names += [(batches[k], int(n)) for n in np.unique(x[2]).view(np.int64)]
+        shares |= {int(r): int(n) for r, n in zip(own[some], x[2].view(np.int64))}
+    return _answers(group["part"][0].as_py(), batches, blobs, total, names, [(n, sums[r].tolist()) for r, n in shares.items()])
+
+
+def _scored(order: int, set_: Setting):
     def run(batches):
         for row in _rows(batches):
             own = Batch(row)
-            count = _counts(row, own, word_parts)
-            a = own.ask(count, texts, parts)
-            pairs = sorted(row["pairs"] or (), key=lambda x: x["part"])
-            total = np.concatenate([np.zeros(0, np.uint32), *(unpacked(x["counts"], np.uint32) for x in pairs)]).astype(np.int64)
-            sums = np.concatenate([np.zeros((0, SUMS)), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x["sums"])).reshape(SUMS, -1).T for x in pairs)]).copy()
-            whole = {x["name"]: x["share"] for x in row["split"] or ()}
-            for i in np.flatnonzero(a["split"]):
-                sums[i] = whole[int(a["name"][i : i + 1].view(np.int64)[0])]
-            n = len(own.kinds)
-            seen = np.append(count, texts).astype(float)
-            back, below = np.ones(n + 1), np.maximum(seen, 1)
-            history = a["before"][a["begin"]]
-            used = sums[:, :DISCOUNTED] @ (table[1:] * np.arange(1, DISCOUNTED + 1)) + sums[:, -2]
-            below[history] = np.where(used < seen[history] * (1 - 1e-12), seen[history], seen[history] + 1)
-            back[history] = (1 - used / below[history]) / (1 - sums[:, -1])
-            single = model.of(count)
-            asked, word = a["asked"], own.token
-            pair = np.append(total, 0)[asked]
-            found = np.where(pair > 0, discounted(pair, table) / below[a["history"]], back[a["history"]] * single[word])
-            base = (count[word] + 1) / (model.total + model.kinds + 1)
+            count = own.words(row, set_.model).count
+            top = own.level(row, order, set_)
+            base = (count[own.token] + 1) / (set_.model.total + set_.model.kinds + 1)
             add = lambda x: np.add.reduceat(x, own.first)
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"]), pa.array(own.held), pa.array(own.sizes), pa.array(add((count[word] > 0).astype(np.int64))), pa.array(np.full(len(own.sizes), model.total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(found)))], ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"]), pa.array(own.held), pa.array(own.sizes), pa.array(add((count[own.token] > 0).astype(np.int64))), pa.array(np.full(len(own.sizes), set_.model.total)), pa.array(add(np.log10(base))), pa.array(add(np.log10(top.chance)[top.at]))], ["_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _stats(rows: DataFrame) -> list[int]:
+    """Tokens, kinds, and the numbers of kinds seen 1, 2, ... times."""
+    found = rows.where("total is not null").agg(F.sum("total"), F.sum("kinds"), *(F.sum(F.col("n")[i]) for i in range(DISCOUNTED + 1))).first()
+    return [int(x or 0) for x in found]
+
+
+def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    held_out: a Column, true for rows that nothing is learned from."""
+    held_out: a Column, true for rows that nothing is learned from; order: words in an n-gram, 1 at least."""
+    if order < 1:
+        raise ValueError("order must be 1 at least")
     spark = docs.sparkSession
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     kind = dict(few.dtypes)["_id"]
     run, schema = _batches(kind)
-    name = f"lm_batches_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    few.mapInArrow(run, schema).write.bucketBy(buckets, "batch").option("path", f"{storage.shared_dir(spark)}/{name}").saveAsTable(name)
-    table = spark.table(name)
-    n_kinds, n_tokens, texts = table.agg(F.sum("n_kinds"), F.sum("n_tokens"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
-    word_parts, parts = storage.parts_for(n_kinds or 0, WORDS), storage.parts_for(n_tokens or 0, 2 * PAIRS)
-    texts = int(texts or 0)
-    run, schema = _words_asked(word_parts)
-    answers = storage.saved(table.select("batch", "kinds", "times").mapInArrow(run, schema).groupBy("part").applyInArrow(_count_words, ANSWER), "words")
-    stats = lambda rows: rows.where("batch = -1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), *(F.coalesce(F.sum(F.col("n")[i]), F.lit(0)) for i in range(DISCOUNTED + 1))).first()
-    total, kinds, *times = map(int, stats(answers))
-    model = Unigrams(total, kinds, times) if total else Unigrams(0, 0, [0] * (DISCOUNTED + 1))
-    known = answers.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts")).alias("words"))
-    run, schema = _pairs_asked(texts, word_parts, parts)
-    asked = table.select("batch", "held", "sizes", "kinds", "token").join(known, "batch").mapInArrow(run, schema)
-    run, schema = _count_pairs(model)
-    pairs = storage.saved(asked.groupBy("part").applyInArrow(run, schema), "pairs")
-    discount = discounts(np.array(list(map(int, stats(pairs)))[2:]))
-    answer = pairs.where("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("part", "counts", "sums")).alias("pairs"))
-    share = pairs.where("share is not null").groupBy("name").agg(F.array(*(F.sum(F.col("share")[i]) for i in range(SUMS))).alias("share"))
-    split = pairs.where("asker is not null").select("name", F.col("asker").alias("batch")).distinct().join(share, "name")
-    split = split.groupBy("batch").agg(F.collect_list(F.struct("name", "share")).alias("split"))
-    ready = table.select("batch", "ids", "held", "sizes", "kinds", "token").join(known, "batch").join(answer, "batch", "left").join(split, "batch", "left")
-    out = ready.mapInArrow(_scored(texts, word_parts, parts, model, discount), f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return out.withColumnRenamed("_id", id_col)
+    with storage.bucketed(few.mapInArrow(run, schema), "batch", "lm_batches") as table:
+        n_kinds, n_tokens, texts = table.agg(F.sum("n_kinds"), F.sum("n_tokens"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
+        set_ = Setting(int(texts or 0), storage.parts_for(n_kinds or 0, WORDS), storage.parts_for(n_tokens or 0, PAIRS), Unigrams(0, 0, [0] * (DISCOUNTED + 1)))
+        answers = [storage.saved(table.select("batch", "blob").mapInArrow(_words_asked(set_.word_parts), ASKED).groupBy("part").applyInArrow(_count_words, ANSWER), "words", ARROW)]
+        total, kinds, *times = _stats(answers[0])
+        if total:
+            set_.model = Unigrams(total, kinds, times)
+        ready = table.select("batch", "ids", "held", "sizes", "blob").join(_listed(answers[0], 1), "batch")
+        for k in range(2, order + 1):
+            asked = ready.drop("ids").mapInArrow(_asked(k, set_), ASKED)
+            found = storage.saved(asked.groupBy("part").applyInArrow(_count_grams, ANSWER), f"grams{k}", ARROW)
+            set_.tables.append(discounts(np.array(_stats(found)[2:])))
+            answers.append(found)
+            share = found.where("share is not null").groupBy("name").agg(F.array(*(F.sum(F.col("share")[i]) for i in range(SUMS))).alias("share"))
+            share = found.where("name is not null and share is null").select("batch", "name").distinct().join(share, "name")
+            share = share.groupBy("batch").agg(F.collect_list(F.struct("name", "share")).alias(f"shares{k}"))
+            ready = ready.join(_listed(found, k), "batch", "left").join(share, "batch", "left")
+        scored = ready.mapInArrow(_scored(order, set_), f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        scored = storage.saved(scored, "scores", ARROW)
+        storage.dropped(*answers)
+    return scored.withColumnRenamed("_id", id_col)
+
+
+def _listed(answers: DataFrame, order: int) -> DataFrame:
+    """A row for each batch with all that it is answered in an order."""
+    return answers.where("blob is not null").groupBy("batch").agg(F.collect_list(F.struct("part", "blob")).alias(f"answers{order}"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,29 +12,71 @@ from pyspark.sql import functions as F
 SHARED = "spark.checkpoint.dir"
 
 
+#: Shuffle files go as soon as the table that they were made for is written.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is absent (local tests)."""
+    """The cluster's shared folder; a temporary one only where the setting is absent and all runs on one machine (local tests)."""
     where = spark.conf.get(SHARED, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"{SHARED} must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="passagework-")
         spark.conf.set(SHARED, where)
     return where.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: a plan cut that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for the time of a with block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def saved(df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: a plan cut that survives lost executors.
+
+    more: session settings for the write."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with settings(spark, CLEAN | (more or {})):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str, name: str):
+    """df as a table in the shared folder, bucketed by key, so that joins on the key do not shuffle it; gone after the with block."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")
+        removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that saved() wrote, once nothing reads them."""
     for df in tables:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(df.sparkSession, file.rsplit("/", 1)[0])
 
 
 def parts_for(total: int, each: int) -> int:

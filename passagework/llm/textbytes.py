@@ -117,3 +117,20 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     width = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(width, -1).T).reshape(-1).view(kind)
+
+
+def bundled(*arrays: np.ndarray) -> bytes:
+    """Arrays one after another, of each the bytes of equal weight side by side, compressed at once."""
+    sizes = np.array([len(a) for a in arrays], np.uint32).tobytes()
+    planes = (np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays if len(a))
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(planes))
+
+
+def unbundled(blob: bytes, *kinds) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    out, at = [], 4 * len(kinds)
+    for n, kind in zip(raw[:at].view(np.uint32).tolist(), kinds):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
