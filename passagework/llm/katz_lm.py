@@ -10,10 +10,10 @@ following word, and only the sums for its back-off weight are put together.
 P(w | h) = d(c(h, w)) c(h, w) / c(h) for an n-gram that was seen, else alpha(h) P(w | h without its first
 word), down to P(w) = d(c(w)) c(w) / N for a known word, and the mass left is that of the one unknown word.
 Every n-gram seen is stored; a history never seen backs off with weight 1. Orders are evaluated one after
-the other: an n-gram asks with the probability that the order below gives its word, so that a partition can
-add up the exact back-off mass of a history. Every distribution adds up to 1 over the known words, the end
-and the unknown word. Before a text there are order - 1 signs of its beginning. Words and n-grams are told
-apart by 64-bit hashes, followers of one history by 48 bits.
+the other: an n-gram asks with what gives its probability one order below, so that a partition can add up
+the exact back-off mass of a history. Every distribution adds up to 1 over the known words, the end
+and the unknown word. Before a text there are order - 1 signs of its beginning. Words and histories
+are told apart by 64-bit hashes, followers of a history by numbers that the word partitions deal out.
 
 Null texts are empty (one token: the end); a null id counts as not held out; repeated rows count twice;
 a text longer than CHUNK is a batch of its own; columns other than id and text are ignored; an empty table
@@ -107,10 +107,11 @@ SUMS = DISCOUNTED + 2
 
 
 class Level:
-    """The n-grams of one order in a batch: at, the n-gram that ends at each token; of each n-gram its name, count and probability."""
+    """The n-grams of one order in a batch: at, the n-gram that ends at each token; of each n-gram its name,
+    count and probability, and what the discounted counts of its history are divided by."""
 
-    def __init__(self, at: np.ndarray, name: np.ndarray, count: np.ndarray, chance: np.ndarray):
-        self.at, self.name, self.count, self.chance = at, name, count, chance
+    def __init__(self, at: np.ndarray, name: np.ndarray, count: np.ndarray, chance: np.ndarray, base: np.ndarray):
+        self.at, self.name, self.count, self.chance, self.base = at, name, count, chance, base
 
 
 class Asked:
@@ -122,27 +123,29 @@ class Asked:
         history[batch.first] = m
         gram, self.at = np.unique(history * n + batch.token, return_inverse=True)
         self.history, self.word = gram // n, gram % n
-        self.lower = np.empty(len(gram))
-        self.lower[self.at] = below.chance[below.at]
+        suffix = np.empty(len(gram), np.int64)
+        suffix[self.at] = below.at
+        self.lower = below.chance[suffix]
         name, seen = np.append(below.name, mixed(np.array([BEGIN + order], np.uint64))), np.append(below.count, set_.texts)
         self.seen = seen[self.history]
-        follower = mixed(batch.kinds + np.uint64(3))[self.word]
-        self.name = mixed(name[self.history] + follower * np.uint64(2 * order + 1))
+        self.name = mixed(name[self.history] + mixed(batch.kinds + np.uint64(order))[self.word])
         spot = name[self.history]
         shares = -(-self.seen // SPLIT)
         split = np.flatnonzero(shares > 1)
-        spot[split] = mixed(spot[split] + follower[split] % shares[split].astype(np.uint64) + np.uint64(1))
+        follower = batch.number[self.word]
+        spot[split] = mixed(spot[split] + mixed(follower[split]) % shares[split].astype(np.uint64) + np.uint64(1))
         self.some = np.flatnonzero(self.seen > 0)
         self.some = self.some[np.argsort(spot[self.some], kind="stable")]
-        self.spot, self.follower = spot[self.some], follower[self.some] >> np.uint64(16)
+        self.spot, self.follower = spot[self.some], follower[self.some]
         self.part = _part(self.spot, set_.parts)
         self.begin = _runs(self.spot)
         self.whole = name[self.history[self.some[self.begin]]]
         self.split = shares[self.some[self.begin]] > 1
+        self.less, self.base = below.count[suffix[self.some]], below.base[suffix[self.some[self.begin]]]
         self.times = np.bincount(self.at, batch.learned(), len(gram)).astype(np.uint64)[self.some]
 
     def answered(self, row: dict, order: int, table: np.ndarray) -> Level:
-        count, chance = np.zeros(len(self.name), np.int64), self.lower.copy()
+        count, chance, base = np.zeros(len(self.name), np.int64), self.lower.copy(), np.ones(len(self.name), np.int64)
         if len(self.some):
             parts = [unbundled(x["blob"], np.uint64, np.uint8, np.float64) for x in sorted(row[f"answers{order}"], key=lambda x: x["part"])]
             found = np.concatenate([x[0] for x in parts]).astype(np.int64)
@@ -154,19 +157,19 @@ class Asked:
                 for i in np.flatnonzero(self.split):
                     sums[i] = shared[int(self.whole[i : i + 1].view(np.int64)[0])]
                 need |= self.split
-            below = self.seen[self.some[self.begin]].astype(np.float64)
+            below = self.seen[self.some[self.begin]]
             back = np.ones(len(need))
             used = sums[need, :DISCOUNTED] @ (table[1:] * np.arange(1, DISCOUNTED + 1)) + sums[need, -2]
             below[need] = np.where(used < below[need] * (1 - 1e-12), below[need], below[need] + 1)
             back[need] = (1 - used / below[need]) / (1 - sums[need, -1])
             run = np.repeat(np.arange(len(need)), np.diff(np.append(self.begin, len(self.some))))
-            count[self.some] = found
+            count[self.some], base[self.some] = found, below[run]
             chance[self.some] = np.where(found > 0, discounted(found, table) / below[run], back[run] * self.lower[self.some])
-        return Level(self.at, self.name, count, chance)
+        return Level(self.at, self.name, count, chance, base)
 
 
 class Batch:
-    """Token numbers of some texts; kinds holds their hashes in order."""
+    """Token numbers of some texts; kinds holds their hashes in order, number what tells them apart everywhere."""
 
     def __init__(self, row: dict):
         kinds, _, token = unbundled(row["blob"], np.uint64, np.uint32, np.uint32)
@@ -179,8 +182,9 @@ class Batch:
         return np.repeat(~self.held, self.sizes)
 
     def words(self, row: dict, model: Unigrams) -> Level:
-        count = np.concatenate([unbundled(x["blob"], np.uint64)[0] for x in sorted(row["answers1"], key=lambda x: x["part"])]).astype(np.int64)
-        return Level(self.token, self.kinds, count, model.of(count))
+        parts = [unbundled(x["blob"], np.uint64, np.uint64) for x in sorted(row["answers1"], key=lambda x: x["part"])]
+        count, self.number = np.concatenate([x[0] for x in parts]).astype(np.int64), np.concatenate([x[1] for x in parts])
+        return Level(self.token, self.kinds, count, model.of(count), np.full(len(count), model.below))
 
     def level(self, row: dict, order: int, set_: Setting) -> Level:
         """The highest of the orders that have been answered."""
@@ -253,11 +257,10 @@ def _asked(order: int, set_: Setting):
             own = Batch(row)
             a = Asked(own, own.level(row, order - 1, set_), order, set_)
             length = np.diff(np.append(a.begin, len(a.some))).astype(np.uint32)
-            lower, out = a.lower[a.some], []
+            out = []
             for part, x, y in _pieces(a.part):
                 i, j = np.searchsorted(a.begin, (x, y))
-                chances, which = np.unique(lower[x:y], return_inverse=True)
-                out.append((part, bundled(_steps(a.spot[a.begin[i:j]]), length[i:j], a.whole[i:j][a.split[i:j]], a.split[i:j].astype(np.uint8), a.follower[x:y], a.times[x:y], chances, which.astype(np.uint32))))
+                out.append((part, bundled(_steps(a.spot[a.begin[i:j]]), length[i:j], a.whole[i:j][a.split[i:j]], a.split[i:j].astype(np.uint8), a.base[i:j], a.follower[x:y], a.times[x:y], a.less[x:y])))
             yield _asking(out, row["batch"])
 
     return run
@@ -278,12 +281,18 @@ def _answers(part: int, batches: list[int], blobs: list[bytes], total: np.ndarra
     })
 
 
-def _count_words(group: pa.Table) -> pa.Table:
-    asked = [unbundled(x, np.uint64, np.uint32) for x in group["blob"].to_pylist()]
-    found, inverse = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in asked]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([t for _, t in asked]), len(found)).astype(np.int64)
-    edge = np.cumsum([0, *(len(k) for k, _ in asked)])
-    return _answers(group["part"][0].as_py(), group["batch"].to_pylist(), [bundled(total[inverse[a:b]].astype(np.uint64)) for a, b in zip(edge[:-1], edge[1:])], total)
+def _count_words(parts: int):
+    def run(group: pa.Table) -> pa.Table:
+        part, asked = group["part"][0].as_py(), [unbundled(x, np.uint64, np.uint32) for x in group["blob"].to_pylist()]
+        found, inverse = np.unique(np.concatenate([np.cumsum(k, dtype=np.uint64) for k, _ in asked]), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate([t for _, t in asked]), len(found)).astype(np.int64)
+        number = np.empty(len(found), np.uint64)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(found), dtype=np.uint64) * np.uint64(parts) + np.uint64(part)  # common words get small ones
+        edge = np.cumsum([0, *(len(k) for k, _ in asked)])
+        own = [inverse[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        return _answers(part, group["batch"].to_pylist(), [bundled(total[x].astype(np.uint64), number[x]) for x in own], total)
+
+    return run
 
 
 def _history_sums(run: np.ndarray, total: np.ndarray, mass: np.ndarray, n: int) -> np.ndarray:
@@ -295,36 +304,39 @@ def _history_sums(run: np.ndarray, total: np.ndarray, mass: np.ndarray, n: int)
     return out
 
 
-def _count_grams(group: pa.Table) -> pa.Table:
-    batches = group["batch"].to_pylist()
-    asked = [unbundled(x, np.uint64, np.uint32, np.uint64, np.uint8, np.uint64, np.uint64, np.float64, np.uint32) for x in group["blob"].to_pylist()]
-    size = [len(x[4]) for x in asked]
-    known, run = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
-    of = np.repeat(run, np.concatenate([x[1] for x in asked]))
-    follower, times, lower = np.concatenate([x[4] for x in asked]), np.concatenate([x[5] for x in asked]).astype(np.int64), np.concatenate([x[6][x[7]] for x in asked])
-    order = np.lexsort((follower, of))
-    fresh = np.concatenate(([True], (np.diff(of[order]) != 0) | (follower[order][1:] != follower[order][:-1])))
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(fresh) - 1
-    one = order[fresh]
-    total = np.bincount(kind, times, len(one)).astype(np.int64)
-    sums = _history_sums(of[one], total, lower[one], len(known))
-    split = np.concatenate([x[3] for x in asked]).astype(bool)
-    parted = np.zeros(len(known), bool)
-    parted[run[split]] = True
-    sure = ~sums[:, :DISCOUNTED].any(axis=1)  # nothing is discounted
-    edge, at = np.cumsum([0, *size]), np.cumsum([0, *(len(x[1]) for x in asked)])
-    blobs, names, shares = [], [], {}
-    for k, x in enumerate(asked):
-        own, count = run[at[k] : at[k + 1]], total[kind[edge[k] : edge[k + 1]]]
-        begin = np.cumsum(x[1], dtype=np.int64) - x[1]
-        need = (np.add.reduceat(count == 0, begin) > 0) | sure[own]
-        need &= ~x[3].astype(bool)
-        blobs.append(bundled(count.astype(np.uint64), need.astype(np.uint8), np.ascontiguousarray(sums[own[need]].T).reshape(-1)))
-        some = np.flatnonzero(x[3])
-        names += [(batches[k], int(n)) for n in np.unique(x[2]).view(np.int64)]
-        shares |= {int(r): int(n) for r, n in zip(own[some], x[2].view(np.int64))}
-    return _answers(group["part"][0].as_py(), batches, blobs, total, names, [(n, sums[r].tolist()) for r, n in shares.items()])
+def _count_grams(table: np.ndarray):
+    """table: discounts of the order below."""
+
+    def count(group: pa.Table) -> pa.Table:
+        batches = group["batch"].to_pylist()
+        asked = [unbundled(x, np.uint64, np.uint32, np.uint64, np.uint8, np.int64, np.uint64, np.uint64, np.int64) for x in group["blob"].to_pylist()]
+        size = [len(x[5]) for x in asked]
+        known, run = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in asked]), return_inverse=True)
+        length = np.concatenate([x[1] for x in asked])
+        of, base = np.repeat(run, length), np.repeat(np.concatenate([x[4] for x in asked]), length)
+        follower, times, less = (np.concatenate([x[k] for x in asked]) for k in (5, 6, 7))
+        order = np.lexsort((follower, of))
+        fresh = np.concatenate(([True], (np.diff(of[order]) != 0) | (follower[order][1:] != follower[order][:-1])))
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(fresh) - 1
+        one = order[fresh]
+        total = np.bincount(kind, times, len(one)).astype(np.int64)
+        sums = _history_sums(of[one], total, discounted(less[one], table) / base[one], len(known))
+        sure = ~sums[:, :DISCOUNTED].any(axis=1)  # nothing is discounted
+        edge, at = np.cumsum([0, *size]), np.cumsum([0, *(len(x[1]) for x in asked)])
+        blobs, names, shares = [], [], {}
+        for k, x in enumerate(asked):
+            own, seen = run[at[k] : at[k + 1]], total[kind[edge[k] : edge[k + 1]]]
+            begin = np.cumsum(x[1], dtype=np.int64) - x[1]
+            need = (np.add.reduceat(seen == 0, begin) > 0) | sure[own]
+            need &= ~x[3].astype(bool)
+            blobs.append(bundled(seen.astype(np.uint64), need.astype(np.uint8), np.ascontiguousarray(sums[own[need]].T).reshape(-1)))
+            some = np.flatnonzero(x[3])
+            names += [(batches[k], int(n)) for n in np.unique(x[2]).view(np.int64)]
+            shares |= {int(r): int(n) for r, n in zip(own[some], x[2].view(np.int64))}
+        return _answers(group["part"][0].as_py(), batches, blobs, total, names, [(n, sums[r].tolist()) for r, n in shares.items()])
+
+    return count
 
 
 def _scored(order: int, set_: Setting):
@@ -359,14 +371,14 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     with storage.bucketed(few.mapInArrow(run, schema), "batch", "lm_batches") as table:
         n_kinds, n_tokens, texts = table.agg(F.sum("n_kinds"), F.sum("n_tokens"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
         set_ = Setting(int(texts or 0), storage.parts_for(n_kinds or 0, WORDS), storage.parts_for(n_tokens or 0, PAIRS), Unigrams(0, 0, [0] * (DISCOUNTED + 1)))
-        answers = [storage.saved(table.select("batch", "blob").mapInArrow(_words_asked(set_.word_parts), ASKED).groupBy("part").applyInArrow(_count_words, ANSWER), "words", ARROW)]
+        answers = [storage.saved(table.select("batch", "blob").mapInArrow(_words_asked(set_.word_parts), ASKED).groupBy("part").applyInArrow(_count_words(set_.word_parts), ANSWER), "words", ARROW)]
         total, kinds, *times = _stats(answers[0])
         if total:
             set_.model = Unigrams(total, kinds, times)
         ready = table.select("batch", "ids", "held", "sizes", "blob").join(_listed(answers[0], 1), "batch")
         for k in range(2, order + 1):
             asked = ready.drop("ids").mapInArrow(_asked(k, set_), ASKED)
-            found = storage.saved(asked.groupBy("part").applyInArrow(_count_grams, ANSWER), f"grams{k}", ARROW)
+            found = storage.saved(asked.groupBy("part").applyInArrow(_count_grams(set_.tables[-1] if set_.tables else set_.model.table), ANSWER), f"grams{k}", ARROW)
             set_.tables.append(discounts(np.array(_stats(found)[2:])))
             answers.append(found)
             share = found.where("share is not null").groupBy("name").agg(F.array(*(F.sum(F.col("share")[i]) for i in range(SUMS))).alias("share"))
