@@ -249,8 +249,8 @@ def _words_asked(parts: int):
     return run
 
 
-def _asked(order: int, set_: Setting):
-    """What each batch asks for in this order."""
+def _asked(order: int, set_: Setting, low: int, high: int):
+    """What each batch asks of the partitions from low to below high in this order."""
 
     def run(batches):
         for row in _rows(batches):
@@ -259,6 +259,8 @@ def _asked(order: int, set_: Setting):
             length = np.diff(np.append(a.begin, len(a.some))).astype(np.uint32)
             out = []
             for part, x, y in _pieces(a.part):
+                if not low <= part < high:
+                    continue
                 i, j = np.searchsorted(a.begin, (x, y))
                 out.append((part, bundled(_steps(a.spot[a.begin[i:j]]), length[i:j], a.whole[i:j][a.split[i:j]], a.split[i:j].astype(np.uint8), a.base[i:j], a.follower[x:y], a.times[x:y], a.less[x:y])))
             yield _asking(out, row["batch"])
@@ -377,10 +379,12 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             set_.model = Unigrams(total, kinds, times)
         ready = table.select("batch", "ids", "held", "sizes", "blob").join(_listed(answers[0], 1), "batch")
         for k in range(2, order + 1):
-            asked = ready.drop("ids").mapInArrow(_asked(k, set_), ASKED)
-            found = storage.saved(asked.groupBy("part").applyInArrow(_count_grams(set_.tables[-1] if set_.tables else set_.model.table), ANSWER), f"grams{k}", ARROW)
+            count, edges, found = _count_grams(set_.tables[-1] if set_.tables else set_.model.table), [set_.parts * i // (k - 1) for i in range(k)], None
+            for low, high in zip(edges[:-1], edges[1:]):  # longer n-grams take more room, so they are asked for in more turns
+                asked = ready.drop("ids").mapInArrow(_asked(k, set_, low, high), ASKED)
+                answers.append(storage.saved(asked.groupBy("part").applyInArrow(count, ANSWER), f"grams{k}", ARROW))
+                found = answers[-1] if found is None else found.unionByName(answers[-1])
             set_.tables.append(discounts(np.array(_stats(found)[2:])))
-            answers.append(found)
             share = found.where("share is not null").groupBy("name").agg(F.array(*(F.sum(F.col("share")[i]) for i in range(SUMS))).alias("share"))
             share = found.where("name is not null and share is null").select("batch", "name").distinct().join(share, "name")
             share = share.groupBy("batch").agg(F.collect_list(F.struct("name", "share")).alias(f"shares{k}"))
