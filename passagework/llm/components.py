@@ -16,20 +16,22 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) for each node u but the least of its component, v being that least; edges: (a, b), loops and repeats allowed.
 
     Each round hangs a node's larger neighbours on its least one, then its smaller ones; a hub costs a
-    grouped minimum and a join on it, which Spark can split, never a list of its neighbours. Rounds grow
+    grouped minimum and a join on it, never a list of its neighbours. The minima are written before they
+    are joined, so that both sides of the join are plain shuffles and Spark can split a hub's. Rounds grow
     with the logarithm of the graph's size; each is written to the shared folder."""
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = storage.saved(now, "edges")
     mark, held = _mark(now), [now]
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = storage.saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = storage.saved(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        held.append(least)
+        least = storage.saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = storage.saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        storage.dropped(large, *held)
+        storage.dropped(large, least, *held)
         held, before = [now], mark
         mark = _mark(now)
         if mark == before:

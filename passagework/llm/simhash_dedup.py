@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 
 from passagework.llm import storage
 from passagework.llm.components import components
-from passagework.llm.textbytes import chunks, column_bytes, lowered, spaces, starts, words
+from passagework.llm.textbytes import MAX, bundled, chunks, column_bytes, lowered, mixed, spaces, starts, unbundled, words
 
 CHUNK, SAMPLE, BLOCK = 2_000_000, 20_000, 8_192
-#: Shingles that prefixes put last, and times that a sample must have them; pairs of texts compared at once.
-COMMON, TIMES, PAIRS = 100_000, 3, 1_000_000
-#: Leaders that a component of near_duplicates gets in its first, second, ... turn.
-LEADERS = [1, 8, 64, 512, 4096]
+#: Bands of near_duplicates, and least hashes in each; bytes that go to a Python worker at once there.
+BANDS, ROWS = 16, 4
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 #: Cost of a probe row and of a compared pair, in ns: they weigh the plan only.
 ROW_NS, PAIR_NS = 10_000, 4
 _lanes = np.array([sum(1 << (8 * j) for j in range(8) if b >> j & 1) for b in range(256)], np.uint64)
@@ -66,7 +65,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, seed: int =
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray:
     """One 64-bit fingerprint per document: the bits that over half of its shingles have."""
-    hashes, offset = shingle_hashes(data, offsets, size)
+    return fingerprints_of(*shingle_hashes(data, offsets, size))
+
+
+def fingerprints_of(hashes: np.ndarray, offset: np.ndarray) -> np.ndarray:
     count = np.diff(offset)
     out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
@@ -262,212 +264,137 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return table.join(rooted, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
+def _sketches(size: int):
+    """Fingerprint and bands of each text: band i is a hash of ROWS least hashes of its distinct shingles, under mixes of its own."""
+    salts = np.random.default_rng(20250117).integers(0, 1 << 64, (BANDS * ROWS, 2), dtype=np.uint64)
+    salts[:, 0] |= np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("_text"))
+            for i, j in chunks(offsets, CHUNK // 2):
+                text, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                hashes, at = shingle_hashes(text, own, size)
+                least = np.full((BANDS * ROWS, j - i), np.uint64(MAX))
+                some = np.flatnonzero(np.diff(at))
+                for k, (times, plus) in enumerate(salts):
+                    if len(some):
+                        x = (hashes ^ plus) * times
+                        least[k, some] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), at[:-1][some])
+                bands = np.zeros((BANDS, j - i), np.uint64)
+                for k in range(BANDS * ROWS):
+                    bands[k // ROWS] = mixed(bands[k // ROWS] + least[k] + np.uint64(k // ROWS))
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * BANDS + 1, BANDS), pa.int32()), pa.array(np.ascontiguousarray(bands.T).reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(i, j - i), pa.array(fingerprints_of(hashes, at).view(np.int64)), listed], ["k", "fp", "bands"])
+
+    return run, "k bigint, fp bigint, bands array<bigint>"
+
+
 def _sets(size: int):
+    """The distinct shingles of each text, by 48 bits of their hashes."""
+
     def run(batches):
         for batch in batches:
             data, offsets = column_bytes(batch.column("_text"))
             for i, j in chunks(offsets, CHUNK):
                 hashes, at = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("k", "root", "fp")), pa.array(found, pa.binary())], ["k", "root", "fp", "shingles"])
+                found = [bundled(np.diff(np.unique(hashes[a:b] >> np.uint64(16)), prepend=np.uint64(0))) for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(i, j - i), pa.array(found, pa.binary())], ["k", "shingles"])
 
-    return run
+    return run, "k bigint, shingles binary"
 
 
 def _alike(similarity: float):
     def run(batches):
         for batch in batches:
-            own, first = batch.column("shingles"), batch.column("leading")
-            hit = []
+            own, first, hit, last = batch.column("shingles"), batch.column("leading"), [], (None, None)
             for a, b in zip(own, first):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                a, b = np.cumsum(unbundled(a.as_py(), np.uint64)[0], dtype=np.uint64), b.as_py()
+                if last[0] != b:
+                    last = (b, np.cumsum(unbundled(b, np.uint64)[0], dtype=np.uint64))
+                b = last[1]
                 least = min(len(a), len(b))
                 shared = len(np.intersect1d(a, b, True)) if least >= similarity * max(len(a), len(b)) else 0
                 hit.append(not len(a) + len(b) or shared >= similarity * (len(a) + len(b) - shared))
-            keep = pa.array(hit, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("leader"), keep], ["k", "leader", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("leader"), pa.array(hit, pa.bool_())], ["k", "leader", "alike"])
 
     return run
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (k, leader) of similar texts, written."""
-    both = pairs.join(sets.select("k", "shingles"), "k").join(sets.select(F.col("k").alias("leader"), F.col("shingles").alias("leading")), "leader")
+    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("leader"), F.col("shingles").alias("leading")), "leader")
     found = both.select("k", "leader", "shingles", "leading").mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean")
-    return storage.saved(found.where("alike").select("k", "leader"), "similar")
-
-
-def _firsts(size: int, similarity: float, names: np.ndarray, times: np.ndarray):
-    """Of each text, the number of its distinct shingles and the first of them, in the order of (times, hash):
-    two texts that share `similarity` of the shingles of both share one of these. Similarity 0: all of them."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = column_bytes(batch.column("_text"))
-            for i, j in chunks(offsets, CHUNK):
-                hashes, at = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                rank = np.zeros(len(hashes), np.int64)
-                if len(names):
-                    near = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
-                    rank = np.where(names[near] == hashes, times[near], 0)
-                number, first = [], []
-                for a, b in zip(at[:-1], at[1:]):
-                    own, where = np.unique(hashes[a:b], return_index=True)
-                    number.append(len(own))
-                    if len(own):
-                        least = int(np.ceil(similarity * len(own) - 1e-9))
-                        own = own[np.argsort(rank[a + where], kind="stable")][: len(own) - max(least, 1) + 1]
-                    first.append(own)
-                edge = np.cumsum([0, *map(len, first)])
-                first = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(first).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(i, j - i), pa.array(number, pa.int32()), first], ["k", "n", "first"])
-
-    return run, "k bigint, n int, first array<bigint>"
-
-
-def _common(rows: DataFrame, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, times) of the most common shingles of a sample, by hash; they steer cost only, never the result."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    few = rows.where(F.pmod(F.xxhash64("_text"), F.lit(max(1, total // SAMPLE))) == 0)
-    run, schema = _firsts(size, 0.0, *none)
-    often = few.mapInArrow(run, schema).select(F.explode("first").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("times")).where(f"times >= {TIMES}")
-    often = often.orderBy(F.desc("times"), "s").limit(COMMON).toPandas()
-    names = often["s"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(names)
-    return names[order], often["times"].to_numpy().astype(np.int64)[order]
-
-
-def _sharing(similarity: float):
-    """Pairs that share a first shingle and can be similar by their sizes and by where they share it. Rows come by (s, n)."""
-
-    def pairs(rows):
-        k, n, pos, fresh = (rows[c].to_numpy() for c in ("k", "n", "pos", "fresh"))
-        s, n = rows["s"].to_numpy(), n.astype(np.int64)
-        group = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
-        most = np.floor(n / similarity + 1e-9).astype(np.int64)
-        end = np.searchsorted(group * (1 << 32) + n, group * (1 << 32) + most, "right")
-        count = end - np.arange(len(n)) - 1
-        edge = np.cumsum(count)
-        i = 0
-        while i < len(n):
-            j = max(i + 1, int(np.searchsorted(edge, (edge[i - 1] if i else 0) + PAIRS, "right")))
-            own = count[i:j]
-            a = np.repeat(np.arange(i, j), own)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(own) - own, own)
-            can = (fresh[a] + fresh[b] > 0) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= similarity / (1 + similarity) * (n[a] + n[b]) - 1e-9)
-            a, b = k[a[can]], k[b[can]]
-            if len(a):
-                found = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["k", "leader"])
-            i = j
-
-    def run(batches):
-        kept = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]).combine_chunks()
-            s = rows["s"].to_numpy()
-            whole = int(np.searchsorted(s, s[-1])) if len(s) else 0
-            if whole:
-                yield from pairs(rows.slice(0, whole))
-            kept = rows.slice(whole)
-        if kept is not None and len(kept):
-            yield from pairs(kept)
-
-    return run
-
-
-def _all_similar(firsts: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """All pairs (k, leader), the lesser key leading, of similar texts of which one at least is fresh, written.
-
-    firsts: k, n, first, fresh; rows: k, _text."""
-    each = firsts.select("k", "n", F.col("fresh").cast("int").alias("fresh"), F.posexplode("first").alias("pos", "s"))
-    pairs = each.repartition("s").sortWithinPartitions("s", "n").mapInArrow(_sharing(similarity), "k bigint, leader bigint")
-    pairs = pairs.distinct().join(firsts.select("k", "n", "first"), "k").join(firsts.select(F.col("k").alias("leader"), F.col("n").alias("m"), F.col("first").alias("leading")), "leader")
-    most = F.size(F.array_intersect("first", "leading")) + F.greatest(F.col("n") - F.size("first"), F.col("m") - F.size("leading"))  # that both can share
-    pairs = storage.saved(pairs.where(most >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9).select("k", "leader"), "pairs")
-    asked = pairs.select("k").unionByName(pairs.select(F.col("leader").alias("k"))).distinct()
-    texts = rows.join(asked, "k", "left_semi").select("k", F.lit(0).cast("bigint").alias("root"), F.lit(0).cast("bigint").alias("fp"), "_text")
-    sets = storage.saved(texts.mapInArrow(_sets(size), "k bigint, root bigint, fp bigint, shingles binary"), "sets")
-    return _similar(pairs, sets, similarity)
-
-
-def _outdone(pairs: DataFrame) -> DataFrame:
-    """The k that go when keys are taken in order and one stays if no lesser one similar to it stays."""
-    left, gone = pairs, pairs.select("k").limit(0)
-    while left.limit(1).count():
-        first = left.select("leader").distinct().join(left.select(F.col("k").alias("leader")), "leader", "left_anti")
-        out = storage.saved(left.join(first, "leader", "left_semi").select("k").distinct(), "gone")
-        gone = gone.unionByName(out)
-        left = storage.saved(left.join(out, "k", "left_anti").join(out.withColumnRenamed("k", "leader"), "leader", "left_anti"), "left")
-    return gone
-
-
-def _completed(rows: DataFrame, stay: DataFrame, lost: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The keys that stay once every similar pair of them is found, whatever the distance of its fingerprints.
-
-    rows: k, _text; stay: k; lost: k that went, and the leader that it is similar to. What went for a leader that
-    goes itself is taken up again: it goes for another one that stays, or stays."""
-    stay = storage.saved(stay, "stay")
-    run, schema = _firsts(size, similarity, *_common(rows, stay.count(), size))
-    firsts = storage.saved(rows.mapInArrow(run, schema), "firsts")
-    pairs = _all_similar(firsts.join(stay, "k", "left_semi").withColumn("fresh", F.lit(True)), rows, size, similarity)
-    out = storage.saved(_outdone(pairs).distinct(), "outdone")
-    stay = stay.join(out, "k", "left_anti")
-    again = storage.saved(lost.join(out.withColumnRenamed("k", "leader"), "leader", "left_semi").select("k").distinct(), "again")
-    if not again.limit(1).count():
-        return stay
-    both = firsts.join(stay.withColumn("fresh", F.lit(False)).unionByName(again.withColumn("fresh", F.lit(True))), "k")
-    asked = firsts.join(again, "k", "left_semi").select(F.explode("first").alias("s")).distinct()
-    near = both.select("k", F.explode("first").alias("s")).join(asked, "s", "left_semi").select("k").distinct()
-    pairs = _all_similar(both.join(near, "k", "left_semi"), rows, size, similarity)
-    fresh = pairs.join(again.select("k", F.lit(True).alias("own")), "k", "left").join(again.select(F.col("k").alias("leader"), F.lit(True).alias("other")), "leader", "left")
-    covered = fresh.where("own is null or other is null").select(F.when(F.col("own"), F.col("k")).otherwise(F.col("leader")).alias("k")).distinct()
-    covered = storage.saved(covered, "covered")
-    rest = fresh.where("own and other").select("k", "leader").join(covered, "k", "left_anti").join(covered.withColumnRenamed("k", "leader"), "leader", "left_anti")
-    out = _outdone(storage.saved(rest, "rest")).unionByName(covered)
-    return stay.unionByName(again.join(out, "k", "left_anti"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 12, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group one stays, all its columns with it.
-
-    Texts within the radius of each other are candidates; they are sought within the components that such
-    links make. In turns, the rows with the least keys of a component become leaders (few at first, so that
-    dense groups are done soon, then more); a leader stays if no earlier leader of its turn is similar, and
-    what is similar to one that stays goes (similar: at least `similarity` of the distinct shingles of both
-    are shared). The rest takes the next turn, until none is left. The radius decides only what is found
-    cheaply: similar pairs further apart are then all found by a shingle that both must share (_completed).
-    So each row that goes is similar to a row that stays, and no two that stay are similar. Keys are ids, or
-    row numbers where ids repeat or are null."""
+    return storage.saved(found.where("alike").select("k", "leader"), "similar", ARROW)
+
+
+def _rooted(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """rows with root, the least key that the similar pairs found so far lead to."""
+    if not found:
+        return rows.withColumn("root", F.col("k"))
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    joined = components(edges.select(F.col("k").alias("a"), F.col("leader").alias("b")))
+    return rows.join(joined.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left").withColumn("root", F.coalesce("root", "k"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group one stays, that of the least key, all its columns with it.
+
+    Two texts are similar if at least `similarity` of the distinct shingles of both are shared; a group is all
+    that similar pairs connect. Candidates come from two places, and all are verified. First, fingerprints
+    within the radius (generalised pigeonhole): each text is compared with the least of its component. A
+    64-bit fingerprint cannot tell texts of similarity 0.8, which are 10 bits apart and up to 20, from
+    unlike ones without comparing a share of all pairs, so second, texts that agree in one of BANDS bands of
+    ROWS least hashes: in a bucket the least keys lead (1, 16, 256, ... in turn), those after them that are not
+    yet connected to them are compared with them, and the others take the next turn, until all that are left
+    in a bucket are connected. A pair of
+    similarity 0.8 agrees in no band with a chance of 0.0002 (0.9: 1e-7), and one that agrees is found.
+
+    Null texts are empty; texts without words are similar to each other; a text of fewer words than `size` is
+    one shingle. Keys are ids, or row numbers where ids repeat or are null. An empty table stays empty."""
     rows, own = storage.keyed(docs, id_col, text_col)
     if own:  # number whole rows
         whole = storage.saved(docs.withColumn("_row", F.monotonically_increasing_id()), "whole")
         rows = whole.select(F.col("_row").alias("_k"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    prints = fingerprint_table(rows, "_k", "_text", size)
-    table = rows.select("_k", F.xxhash64(F.coalesce("_text", F.lit(""))).alias("same"))
-    table = storage.saved(table.join(prints.withColumnRenamed("_id", "_k"), "_k"), "texts")
-    texts = storage.saved(table.groupBy("same", "fp").agg(F.min("_k").alias("k")), "distinct")
-    joined = components(storage.saved(links(texts.select("fp").distinct(), radius), "links"))
-    members = texts.join(joined.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("k", "fp", F.coalesce("root", "fp").alias("root"))
-    several = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    left = rows.join(members.join(several, "root").withColumnRenamed("k", "_k"), "_k").select(F.col("_k").alias("k"), "root", "fp", "_text")
-    sets = storage.saved(left.mapInArrow(_sets(size), "k bigint, root bigint, fp bigint, shingles binary"), "sets")
-    left, gone, turn = sets.select("k", "root", "fp"), [sets.select("k", F.col("k").alias("leader")).limit(0)], 0
-    while left.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("root").orderBy("k"))
-        leaders = left.withColumn("place", place).where(F.col("place") <= LEADERS[min(turn, len(LEADERS) - 1)])
-        leaders = storage.saved(leaders.select("root", F.col("k").alias("leader"), F.col("fp").alias("own")), "leaders")
-        near = (F.col("k") > F.col("leader")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own"))) <= radius)
-        tried = _similar(left.alias("l").join(leaders.alias("r"), (F.col("l.root") == F.col("r.root")) & near).select("k", "leader"), sets, similarity)
-        first = leaders.select("leader").join(tried.select(F.col("k").alias("leader")), "leader", "left_anti")  # no earlier leader is similar
-        gone.append(storage.saved(tried.join(first, "leader", "left_semi").groupBy("k").agg(F.min("leader").alias("leader")), "gone"))
-        left = storage.saved(left.join(gone[-1].select("k"), "k", "left_anti").join(first.withColumnRenamed("leader", "k"), "k", "left_anti"), "left")
+    rows = rows.select(F.col("_k").alias("k"), F.coalesce("_text", F.lit("")).alias("_text"))
+    first = rows.groupBy(F.xxhash64("_text").alias("a"), F.crc32(F.col("_text").cast("binary")).alias("b"), F.octet_length("_text").alias("c")).agg(F.min("k").alias("k"), F.count(F.lit(1)).alias("n"))
+    first = storage.saved(first, "first")  # of equal texts
+    some = rows if first.where("n > 1").limit(1).count() == 0 else rows.join(first.select("k"), "k", "left_semi")
+    run, schema = _sketches(size)
+    texts = storage.saved(some.mapInArrow(run, schema), "sketches")
+    near = storage.saved(links(texts.select("fp").distinct(), radius), "links")
+    least = texts.select("k", "fp").join(components(near).select(F.col("u").alias("fp"), F.col("v").alias("at")), "fp", "left").select("k", F.coalesce("at", "fp").alias("at"))
+    near = storage.saved(_starred(least.select("k", F.col("at").alias("b"))), "near")
+    listed = texts.select("k", F.explode("bands").alias("b"))
+    often = listed.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
+    live = storage.saved(listed.join(often, "b"), "buckets")
+    asked = live.select("k").unionByName(near.select("k")).unionByName(near.select(F.col("leader").alias("k"))).distinct()
+    run, schema = _sets(size)
+    sets = storage.saved(some.join(asked, "k", "left_semi").mapInArrow(run, schema), "sets")
+    found, tables, turn = [_similar(near, sets, similarity)], [first, texts, near, live, sets], 0
+    while live.limit(1).count():
+        label = storage.saved(_rooted(live, found), "labels")
+        place = F.row_number().over(Window.partitionBy("b").orderBy("k"))
+        heads = storage.saved(label.withColumn("place", place).where(F.col("place") <= 16**turn).select("b", F.col("k").alias("leader"), F.col("root").alias("to")), "heads")
+        pairs = label.join(heads, "b").where("k > leader and root <> to").select("k", "leader").distinct()
+        found.append(_similar(pairs, sets, similarity))
+        label = _rooted(live, found).join(heads.select("b", F.col("leader").alias("k")), ["b", "k"], "left_anti")
+        label = storage.saved(label, "labels")
+        several = label.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b")
+        live = storage.saved(label.select("b", "k").join(several, "b"), "buckets")
+        tables += [heads, live]
         turn += 1
-    lost = gone[0]
-    for more in gone[1:]:
-        lost = lost.unionByName(more)
-    stay = texts.select("k").join(lost.select("k"), "k", "left_anti")
-    stay = _completed(rows.select(F.col("_k").alias("k"), "_text"), stay, lost, size, similarity)
+    out = _rooted(some.select("k"), found).where("k = root").select("k")
+    out = storage.saved(out, "stay")
+    storage.dropped(*tables, *found)
     if own:
-        return whole.join(stay.select(F.col("k").alias("_row")), "_row", "left_semi").drop("_row")
-    return docs.join(stay.select(F.col("k").alias(id_col)), id_col, "left_semi").select(docs.columns)
+        return whole.join(out.select(F.col("k").alias("_row")), "_row", "left_semi").drop("_row")
+    return docs.join(out.select(F.col("k").alias(id_col)), id_col, "left_semi").select(docs.columns)
+
+
+def _starred(rows: DataFrame) -> DataFrame:
+    """(k, leader): each key but the least of its b, with that least one."""
+    least = storage.saved(rows.groupBy("b").agg(F.min("k").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("b", "leader"), "least")
+    return rows.join(least, "b").where("k > leader").select("k", "leader")
