@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.textbytes import chunks, column_bytes
+from passagework.llm.textbytes import cached, chunks, column_bytes
 
 CHUNK = 4_000_000
 #: Pre-tokens whose ids a worker remembers, in each of two generations, and the length up to which it does.
@@ -133,14 +133,9 @@ class Coder:
         return b"".join(map(self.bytes_of.__getitem__, ids.split(","))) if ids else b""
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
-    """A worker keeps one for each vocabulary."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    """A worker keeps it, and with it the pre-tokens that it remembers."""
+    return cached(("byte_bpe", path, pattern), lambda: Coder(path, pattern))
 
 
 def byte_bpe(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

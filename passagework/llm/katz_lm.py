@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import storage
-from passagework.llm.textbytes import Sums, bundled, chunks, column_bytes, lowered, mixed, starts, unbundled, words
+from passagework.llm.textbytes import Sums, bundled, chunks, column_bytes, lowered, mixed, starts, tidy, unbundled, words
 
 #: Words in an n-gram.
 ORDER = 3
@@ -370,10 +370,10 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held"))
     kind = dict(few.dtypes)["_id"]
     run, schema = _batches(kind)
-    with storage.bucketed(few.mapInArrow(run, schema), "batch", "lm_batches") as table:
+    with storage.bucketed(few.mapInArrow(tidy(run), schema), "batch", "lm_batches") as table:
         n_kinds, n_tokens, texts = table.agg(F.sum("n_kinds"), F.sum("n_tokens"), F.sum(F.size(F.filter("held", lambda x: ~x)))).first()
         set_ = Setting(int(texts or 0), storage.parts_for(n_kinds or 0, WORDS), storage.parts_for(n_tokens or 0, PAIRS), Unigrams(0, 0, [0] * (DISCOUNTED + 1)))
-        answers = [storage.saved(table.select("batch", "blob").mapInArrow(_words_asked(set_.word_parts), ASKED).groupBy("part").applyInArrow(_count_words(set_.word_parts), ANSWER), "words", ARROW)]
+        answers = [storage.saved(table.select("batch", "blob").mapInArrow(tidy(_words_asked(set_.word_parts)), ASKED).groupBy("part").applyInArrow(_count_words(set_.word_parts), ANSWER), "words", ARROW)]
         total, kinds, *times = _stats(answers[0])
         if total:
             set_.model = Unigrams(total, kinds, times)
@@ -381,7 +381,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         for k in range(2, order + 1):
             count, edges, found = _count_grams(set_.tables[-1] if set_.tables else set_.model.table), [set_.parts * i // (k - 1) for i in range(k)], None
             for low, high in zip(edges[:-1], edges[1:]):  # longer n-grams take more room, so they are asked for in more turns
-                asked = ready.drop("ids").mapInArrow(_asked(k, set_, low, high), ASKED)
+                asked = ready.drop("ids").mapInArrow(tidy(_asked(k, set_, low, high)), ASKED)
                 answers.append(storage.saved(asked.groupBy("part").applyInArrow(count, ANSWER), f"grams{k}", ARROW))
                 found = answers[-1] if found is None else found.unionByName(answers[-1])
             set_.tables.append(discounts(np.array(_stats(found)[2:])))
@@ -389,7 +389,7 @@ def katz_scores(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
             share = found.where("name is not null and share is null").select("batch", "name").distinct().join(share, "name")
             share = share.groupBy("batch").agg(F.collect_list(F.struct("name", "share")).alias(f"shares{k}"))
             ready = ready.join(_listed(found, k), "batch", "left").join(share, "batch", "left")
-        scored = ready.mapInArrow(_scored(order, set_), f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        scored = ready.mapInArrow(tidy(_scored(order, set_)), f"_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
         scored = storage.saved(scored, "scores", ARROW)
         storage.dropped(*answers)
     return scored.withColumnRenamed("_id", id_col)

@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.textbytes import chunks, column_bytes, mixed, starts
+from passagework.llm.textbytes import chunks, column_bytes, mixed, starts, tidy
 
-ORDER, CHUNK = 4, 1_000_000
+ORDER, CHUNK = 4, 500_000
 MASKS = [np.uint64((1 << (16 * n)) - 1) for n in range(ORDER + 1)]
 
 
@@ -184,7 +184,7 @@ def counted(texts: DataFrame, symbols) -> DataFrame:
                 some = codes[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.view(np.int64)), pa.array(n[k : k + 100_000])], ["name", "code", "n"])
 
-    rows = texts.select("_name", "_text").mapInArrow(run, "name string, code bigint, n bigint")
+    rows = texts.select("_name", "_text").mapInArrow(tidy(run), "name string, code bigint, n bigint")
     return rows.groupBy("name", "code").agg(F.sum("n").alias("n"))
 
 

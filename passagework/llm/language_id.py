@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm import kneser_ney as kn
 from passagework.llm.sampling import bounded
-from passagework.llm.textbytes import chunks, column_bytes, starts
+from passagework.llm.textbytes import chunks, column_bytes, starts, tidy
 
 #: Texts a language for its model and for its limit; grams in all models together.
 SAMPLE, HELD, GRAMS = 1_500, 400, 2_000_000
@@ -110,7 +110,7 @@ def fit(rows: DataFrame) -> Identifier:
                 ok = (own >= 0) & (size > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(bits[ok, own[ok]]), pa.array(size[ok])], ["own", "bits", "size"])
 
-    held = bounded(rows, "_name", HELD, salt=1).select("_name", "_text").mapInArrow(measured, "own bigint, bits double, size bigint").toPandas()
+    held = bounded(rows, "_name", HELD, salt=1).select("_name", "_text").mapInArrow(tidy(measured), "own bigint, bits double, size bigint").toPandas()
     limits, spread = np.full(len(names), np.inf), np.zeros(len(names))
     for k, g in held.groupby("own"):
         middle = g["bits"].median()
@@ -139,5 +139,5 @@ def language_id(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str =
     kinds = dict(few.dtypes)
     names = ["_id", *(f"_keep_{i}" for i in range(len(more))), "lang_pred", "score", "rejected", "cross_entropy"]
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in names if c in kinds), "lang_pred string, score double, rejected boolean, cross_entropy double"])
-    made = few.mapInArrow(run, schema)
+    made = few.mapInArrow(tidy(run), schema)
     return made.select(F.col("_id").alias(id_col), *(F.col(f"_keep_{i}").alias(c) for i, c in enumerate(more)), "lang_pred", "score", "rejected", "cross_entropy")

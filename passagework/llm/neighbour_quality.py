@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.sampling import labelled
-from passagework.llm.textbytes import Sums, chunks, column_bytes, starts, words
+from passagework.llm.textbytes import Sums, chunks, column_bytes, starts, tidy, words
 
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS, CHUNK = 1_500, 2_048, 48, 15, 8, 1_000_000
 _kinds = np.array([0 if c in b" \t\r\v\f" else 1 if c == 10 else 2 if 97 <= c <= 122 else 3 if 65 <= c <= 90 else 4 if 48 <= c <= 57 else 6 if c in b".,;:'\"-()" else 7 if c < 128 else 5 for c in range(256)], np.int64)
@@ -94,7 +94,7 @@ def fit(rows: DataFrame, counts: dict[int, int]) -> Voter:
                 found = vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "vector"])
 
-    got = rows.select("_label", "_text").mapInArrow(run, "label int, vector binary").toPandas().sort_values(["label", "vector"])
+    got = rows.select("_label", "_text").mapInArrow(tidy(run), "label int, vector binary").toPandas().sort_values(["label", "vector"])
     labels = got["label"].to_numpy()
     sample = np.frombuffer(b"".join(got["vector"]), np.float32).reshape(len(labels), WIDTH)
     share = np.bincount(labels, minlength=2) / max(len(labels), 1)
@@ -119,4 +119,4 @@ def neighbour_quality(docs: DataFrame, labels: DataFrame, learn, id_col: str = "
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score.astype(np.float64))], ["_id", "score"])
 
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return few.mapInArrow(run, f"_id {dict(few.dtypes)['_id']}, score double").withColumnRenamed("_id", id_col)
+    return few.mapInArrow(tidy(run), f"_id {dict(few.dtypes)['_id']}, score double").withColumnRenamed("_id", id_col)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm import kneser_ney as kn
 from passagework.llm import storage
-from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed, words
+from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed, tidy, words
 
 GRAMS, WIDTH, NARROW, MIN_WORDS, MAX_REPEATS = 4_000_000, 6.0, 0.15, 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -99,7 +99,7 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 base = base_counts(text, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), name, *(pa.array(c) for c in base.T), pa.array(mean, mask=size == 0)], ["_id", "_name", *RESULT, "log_perplexity"])
 
-    scored = few.mapInArrow(run, f"_id {dict(few.dtypes)['_id']}, _name string, " + ", ".join(f"{c} bigint" for c in RESULT) + ", log_perplexity double")
+    scored = few.mapInArrow(tidy(run), f"_id {dict(few.dtypes)['_id']}, _name string, " + ", ".join(f"{c} bigint" for c in RESULT) + ", log_perplexity double")
     scored = storage.saved(scored.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATS} * n_words")), "scored")
     band = scored.where("not base_failed").groupBy("_name").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
     reach = F.greatest(F.lit(NARROW), WIDTH * 0.7413 * (F.col("q")[2] - F.col("q")[0]))

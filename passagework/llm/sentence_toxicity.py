@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm.sampling import labelled
-from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered
+from passagework.llm.textbytes import Sums, chunks, column_bytes, lowered, tidy
 
 SAMPLE, FEATURES, BITS, LEAST, ROUNDS, CHUNK, OFFENDS = 4_000, 4_000, 20, 6, 400, 1_000_000, 0.5
 PREFIXES = (4, 5, 6)
@@ -111,7 +111,7 @@ def fit(rows: DataFrame, counts: dict[int, int]) -> Scorer:
 
     sampled = {int(r[0]): r[1] for r in few.groupBy("_label").count().collect()}
     zero, one = max(sampled.get(0, 0), 1), max(sampled.get(1, 0), 1)
-    seen = few.mapInArrow(counted, "feature bigint, zero int, one int").groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
+    seen = few.mapInArrow(tidy(counted), "feature bigint, zero int, one int").groupBy("feature").agg(F.sum("zero").alias("zero"), F.sum("one").alias("one"))
     odds = (F.col("one") + 0.5) / (one + 1) / ((F.col("zero") + 0.5) / (zero + 1))
     best = seen.where((F.col("one") >= LEAST) & (odds > 3)).orderBy((F.log(odds) * F.sqrt("one")).desc(), "feature").limit(FEATURES).toPandas()
     chosen = np.sort(best["feature"].to_numpy().astype(np.int64))
@@ -132,7 +132,7 @@ def fit(rows: DataFrame, counts: dict[int, int]) -> Scorer:
                     each[d].append((s, f))
                 yield pa.RecordBatch.from_arrays([pa.array(label[i:j]), pa.array(np.bincount(doc, minlength=j - i)), pa.array([[s for s, _ in x] for x in each], pa.list_(pa.int64())), pa.array([[f for _, f in x] for x in each], pa.list_(pa.int64()))], ["label", "n", "sentence", "feature"])
 
-    got = few.mapInArrow(picked, "label int, n bigint, sentence array<bigint>, feature array<bigint>").toPandas()
+    got = few.mapInArrow(tidy(picked), "label int, n bigint, sentence array<bigint>, feature array<bigint>").toPandas()
     doc, sentence, feature, plain = [], [], [], []
     for d, (n, own, f) in enumerate(zip(got["n"], got["sentence"], got["feature"])):
         kinds, inverse = np.unique(np.asarray(own, np.int64), return_inverse=True)
@@ -165,4 +165,4 @@ def sentence_toxicity(docs: DataFrame, labels: DataFrame, learn, id_col: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(score), listed], ["_id", "score", "offending"])
 
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return few.mapInArrow(run, f"_id {dict(few.dtypes)['_id']}, score double, offending array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)
+    return few.mapInArrow(tidy(run), f"_id {dict(few.dtypes)['_id']}, score double, offending array<struct<start:bigint,end:bigint,score:double>>").withColumnRenamed("_id", id_col)

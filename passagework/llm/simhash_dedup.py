@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from passagework.llm import storage
 from passagework.llm.components import components
-from passagework.llm.textbytes import MAX, bundled, chunks, column_bytes, lowered, mixed, spaces, starts, unbundled, words
+from passagework.llm.textbytes import MAX, bundled, chunks, column_bytes, lowered, mixed, spaces, starts, tidy, unbundled, words
 
 CHUNK, SAMPLE, BLOCK = 2_000_000, 20_000, 8_192
 #: Bands of near_duplicates, and least hashes in each; bytes that go to a Python worker at once there.
@@ -236,7 +236,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     rows = rows.join(heavy, "group", "left").withColumn("blocks", F.expr(f"cast(coalesce(ceil(n / {BLOCK}), 1) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("fp", "centre", F.expr("if(blocks = 1, group, xxhash64(group, least(own, other), greatest(own, other)))").alias("group"), F.expr("if(own = other, 0, if(own < other, 1, 2))").alias("side"))
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_buckets(radius), "a bigint, b bigint")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_buckets(radius)), "a bigint, b bigint")
 
 
 def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -247,7 +247,7 @@ def fingerprint_table(docs: DataFrame, id_col: str, text_col: str, size: int) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["_id", "fp"])
 
     few = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return few.mapInArrow(run, f"_id {dict(few.dtypes)['_id']}, fp bigint")
+    return few.mapInArrow(tidy(run), f"_id {dict(few.dtypes)['_id']}, fp bigint")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
@@ -324,7 +324,7 @@ def _alike(similarity: float):
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (k, leader) of similar texts, written."""
     both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("leader"), F.col("shingles").alias("leading")), "leader")
-    found = both.select("k", "leader", "shingles", "leading").mapInArrow(_alike(similarity), "k bigint, leader bigint, alike boolean")
+    found = both.select("k", "leader", "shingles", "leading").mapInArrow(tidy(_alike(similarity)), "k bigint, leader bigint, alike boolean")
     return storage.saved(found.where("alike").select("k", "leader"), "similar", ARROW)
 
 
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = storage.saved(first, "first")  # of equal texts
     some = rows if first.where("n > 1").limit(1).count() == 0 else rows.join(first.select("k"), "k", "left_semi")
     run, schema = _sketches(size)
-    texts = storage.saved(some.mapInArrow(run, schema), "sketches")
+    texts = storage.saved(some.mapInArrow(tidy(run), schema), "sketches")
     near = storage.saved(links(texts.select("fp").distinct(), radius), "links")
     least = texts.select("k", "fp").join(components(near).select(F.col("u").alias("fp"), F.col("v").alias("at")), "fp", "left").select("k", F.coalesce("at", "fp").alias("at"))
     near = storage.saved(_starred(least.select("k", F.col("at").alias("b"))), "near")
@@ -372,7 +372,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = storage.saved(listed.join(often, "b"), "buckets")
     asked = live.select("k").unionByName(near.select("k")).unionByName(near.select(F.col("leader").alias("k"))).distinct()
     run, schema = _sets(size)
-    sets = storage.saved(some.join(asked, "k", "left_semi").mapInArrow(run, schema), "sets")
+    sets = storage.saved(some.join(asked, "k", "left_semi").mapInArrow(tidy(run), schema), "sets")
     found, tables, turn = [_similar(near, sets, similarity)], [first, texts, near, live, sets], 0
     while live.limit(1).count():
         label = storage.saved(_rooted(live, found), "labels")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework.llm import storage
-from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed, packed, unpacked
+from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed, packed, tidy, unpacked
 
 LENGTH, GRAM = 200, 48
 #: Bytes of text that are hashed at once, and bytes of context in a shard.
@@ -213,7 +213,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
                 doc, lo, skip, more, gram, context = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc]), pa.array(lo, pa.int32()), pa.array(skip * 65536 + more, pa.int32()), pa.array(gram), pa.array(context)], ["_k", "pos", "pack", "h", "g"])
 
-    spots = storage.saved(rows.select("_k", "_text").mapInArrow(narrowed, "_k bigint, pos int, pack int, h bigint, g bigint"), "anchors")
+    spots = storage.saved(rows.select("_k", "_text").mapInArrow(tidy(narrowed), "_k bigint, pos int, pack int, h bigint, g bigint"), "anchors")
     again = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     again = storage.saved(spots.join(again, "h", "left_semi"), "again")
     kinds = again.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "pos", "pack")).alias("at"))
@@ -269,6 +269,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     listed = spans.groupBy("_k").agg(F.collect_list(F.struct("lo", "hi")).alias("each"))
     joined = rows.join(listed, "_k", "left")
     if not own:
-        return joined.select("_k", "_text", "each").mapInArrow(_kept, "_k bigint, n_bytes bigint, kept binary, spans array<struct<start:int,end:int>>").withColumnRenamed("_k", id_col).withColumn(id_col, F.col(id_col).cast(dict(docs.dtypes)[id_col]))
-    made = joined.select("_k", "_text", "each").mapInArrow(_kept, "_k bigint, n_bytes bigint, kept binary, spans array<struct<start:int,end:int>>")
+        return joined.select("_k", "_text", "each").mapInArrow(tidy(_kept), "_k bigint, n_bytes bigint, kept binary, spans array<struct<start:int,end:int>>").withColumnRenamed("_k", id_col).withColumn(id_col, F.col(id_col).cast(dict(docs.dtypes)[id_col]))
+    made = joined.select("_k", "_text", "each").mapInArrow(tidy(_kept), "_k bigint, n_bytes bigint, kept binary, spans array<struct<start:int,end:int>>")
     return made.join(rows.select("_k", F.col("_id").alias(id_col)), "_k").drop("_k")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -134,3 +136,40 @@ def unbundled(blob: bytes, *kinds) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(raw[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
         at += n * width
     return out
+
+
+_kept: dict = {}
+
+
+def cached(name, make):
+    """What make() gives, kept in the worker until a task of another operator begins."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    _kept.clear()
+
+
+def release() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
+def tidy(run):
+    """run, an Arrow function over batches, in a worker that serves many: without what tasks of others keep, and leaving no free memory."""
+
+    def tidied(batches):
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
