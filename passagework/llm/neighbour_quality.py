@@ -1,14 +1,15 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are hashed byte trigrams, trigrams of character kinds, and how often a word or a line
-repeats the one before; their root shares make a vector. The right singular vectors of a bounded sample of
+A text's terms are hashed byte trigrams, trigrams of character kinds, and words that repeat the one before;
+their root shares make a vector. The right singular vectors of a bounded sample of
 labelled texts (SAMPLE a label) project it to DIMENSIONS latent dimensions. The sample's latent vectors are
 broadcast - at most 2 * SAMPLE of them, whatever the corpus - and each text gets its exact cosine with all
 of them, block by block. The NEIGHBOURS nearest vote for their labels with the power SHARPNESS of their
 similarity, and votes are weighted so that the sample stands for the labelled rows.
 
 A null or empty text has no vector and gets the share of label 1; so do all texts if only one label was
-seen; with no labels at all the score is 0.5. Ties between neighbours go to the first in the sample.
+seen; with no labels at all the score is 0.5. Ties between neighbours go to the first in the sample, which
+is in order of label and vector. A very long text is one vector like any other.
 Rows with null ids or labels are scored and teach nothing if their label is null; repeated rows get equal
 scores; a repeated label row would count twice; other columns are ignored; an empty table gives an empty result.
 """
@@ -25,7 +26,7 @@ from passagework.llm.textbytes import Sums, chunks, column_bytes, starts, tidy,
 
 SAMPLE, TERMS, DIMENSIONS, NEIGHBOURS, SHARPNESS, CHUNK = 1_500, 2_048, 48, 15, 8, 1_000_000
 _kinds = np.array([0 if c in b" \t\r\v\f" else 1 if c == 10 else 2 if 97 <= c <= 122 else 3 if 65 <= c <= 90 else 4 if 48 <= c <= 57 else 6 if c in b".,;:'\"-()" else 7 if c < 128 else 5 for c in range(256)], np.int64)
-WIDTH = TERMS + 512 + 2
+WIDTH = TERMS + 512 + 1
 
 
 def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -50,7 +51,7 @@ def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         doc = np.repeat(np.arange(n), np.diff(of))
         again = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
         share = np.bincount(doc[1:][again], minlength=n) / np.maximum(np.diff(of), 1)
-        out[:, -2], out[:, -1] = 2 * np.sqrt(share), 2 * (share > 0.3)
+        out[:, -1] = 3 * np.sqrt(share)
     return out
 
 
@@ -75,7 +76,10 @@ class Voter:
             block = some[k : k + 512]
             alike = self.latent(rows[block]) @ self.near.T
             most = min(NEIGHBOURS, alike.shape[1])
-            top = np.argsort(-alike, axis=1, kind="stable")[:, :most] if alike.shape[1] <= 64 else np.argpartition(-alike, most - 1, axis=1)[:, :most]
+            last = -np.partition(-alike, most - 1, axis=1)[:, most - 1 : most]
+            above, tied = alike > last, alike == last
+            room = most - above.sum(axis=1, keepdims=True)
+            top = np.nonzero(above | (tied & (tied.cumsum(axis=1) <= room)))[1].reshape(len(block), most)
             vote = np.maximum(np.take_along_axis(alike, top, 1), 1e-6) ** SHARPNESS * self.weights[top]
             out[block] = (vote * self.labels[top]).sum(axis=1) / vote.sum(axis=1)
         return np.clip(out, 0, 1)
