@@ -1,13 +1,14 @@
 """Language by interpolated Kneser-Ney character models, one per language.
 
 Texts are lower-cased letters with one space for anything between; each model gives its cross-entropy per
-symbol, and the least wins. A language's rejection limit comes from texts that its model was not fitted
-on: their median cross-entropy, plus SLACK, plus DEVIATIONS times their scaled deviation over the root of
-the length, so short texts may stray further. The models hold at most SAMPLE texts a language.
+symbol, and the least wins. A language's rejection limit comes from texts that no model was fitted on (one
+text in HOLD, by hash): their median cross-entropy, plus SLACK, plus DEVIATIONS times their scaled deviation
+over the root of the length, so short texts may stray further; without such texts there is no limit. The
+models hold about SAMPLE different texts a language, the limits about HELD, with all their grams.
 
 A null text, or one without letters, is `und` with score 0 and is rejected; a null id or language is
-allowed (the latter teaches nothing); ties go to the first language in order; repeated rows give equal
-rows; other columns are ignored unless they are listed in `keep`; with nothing to learn from, all texts
+allowed (the latter teaches nothing); ties go to the first language in order; a very long text is read
+whole; repeated rows give equal rows and teach once; other columns are ignored unless they are listed in `keep`; with nothing to learn from, all texts
 are `und`; an empty table gives an empty result.
 """
 
@@ -24,8 +25,8 @@ from passagework.llm import kneser_ney as kn
 from passagework.llm.sampling import bounded
 from passagework.llm.textbytes import chunks, column_bytes, starts, tidy
 
-#: Texts a language for its model and for its limit; grams in all models together.
-SAMPLE, HELD, GRAMS = 1_500, 400, 2_000_000
+#: Texts a language for its model and for its limit; one text in HOLD is for limits.
+SAMPLE, HELD, HOLD = 1_500, 400, 5
 SLACK, DEVIATIONS, EVIDENCE, ALPHABET = 0.7, 6.0, 40, 1 << 16
 UNDETERMINED = "und"
 _tables: list[np.ndarray] = []
@@ -96,7 +97,8 @@ class Identifier:
 def fit(rows: DataFrame) -> Identifier:
     """From rows with _text and _name (language)."""
     rows = rows.where("_name is not null and _text is not null")
-    names, model = kn.build(kn.collected(kn.counted(bounded(rows, "_name", SAMPLE), symbols), GRAMS), ALPHABET, False) if rows.limit(1).count() else ([], None)
+    apart = F.pmod(F.xxhash64("_text", F.lit(9)), F.lit(HOLD)) == 0
+    names, model = kn.build(kn.collected(kn.counted(bounded(rows.where(~apart), "_name", SAMPLE), symbols)), ALPHABET, False) if rows.limit(1).count() else ([], None)
     if not names:
         return Identifier([], None, np.zeros(0), np.zeros(0))
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -110,7 +112,7 @@ def fit(rows: DataFrame) -> Identifier:
                 ok = (own >= 0) & (size > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(bits[ok, own[ok]]), pa.array(size[ok])], ["own", "bits", "size"])
 
-    held = bounded(rows, "_name", HELD, salt=1).select("_name", "_text").mapInArrow(tidy(measured), "own bigint, bits double, size bigint").toPandas()
+    held = bounded(rows.where(apart), "_name", HELD, salt=1).select("_name", "_text").mapInArrow(tidy(measured), "own bigint, bits double, size bigint").toPandas()
     limits, spread = np.full(len(names), np.inf), np.zeros(len(names))
     for k, g in held.groupby("own"):
         middle = g["bits"].median()

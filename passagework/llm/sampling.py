@@ -9,14 +9,16 @@ from passagework.llm import storage
 
 
 def bounded(rows: DataFrame, label: str, most: int, salt: int = 0) -> DataFrame:
-    """About `most` rows of each label at the most, those with the least hash of _text; all where there are fewer.
+    """About `most` different texts of each label at the most, those with the least hash; all where there are fewer.
 
-    The share to keep is set from the counts of the labels, so no task gathers a label's rows."""
-    counts = {r[0]: r[1] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    The share to keep is set from the counts of the labels' texts, so no task gathers a label's rows."""
+    kinds = rows.where(F.col(label).isNotNull()).select(label, F.xxhash64("_text").alias("h")).distinct()
+    counts = {r[0]: r[1] for r in kinds.groupBy(label).count().collect()}
     if not counts:
         return rows.limit(0)
     share = F.coalesce(*(F.when(F.col(label) == F.lit(k), F.lit(min(1.0, most / n))) for k, n in counts.items()))
-    return rows.where(F.col(label).isNotNull() & (F.pmod(F.xxhash64("_text", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)))
+    drawn = F.pmod(F.xxhash64("_text", F.lit(salt)), F.lit(1 << 20)) < share * (1 << 20)
+    return rows.where(F.col(label).isNotNull() & drawn).select(label, "_text").distinct()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learn, id_col: str, text_col: str, label_col: str, most: int) -> tuple[DataFrame, dict[int, int]]:
