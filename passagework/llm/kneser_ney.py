@@ -188,10 +188,35 @@ def counted(texts: DataFrame, symbols) -> DataFrame:
     return rows.groupBy("name", "code").agg(F.sum("n").alias("n"))
 
 
-def collected(counts: DataFrame, most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """The counts by name. If over `most` grams were seen, those seen once go (twice, ...) until they fit."""
-    least = 1
-    while counts.where(F.col("n") >= least).limit(most + 1).count() > most:
-        least += 1
-    got = counts.where(F.col("n") >= least).toPandas()
+def collected(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """The counts by name, on the driver: only for the grams of a bounded sample."""
+    got = counts.toPandas()
     return {name: (g["code"].to_numpy().astype(np.int64).view(np.uint64), g["n"].to_numpy()) for name, g in got.groupby("name")}
+
+
+def _discounted(level: DataFrame) -> DataFrame:
+    """level (name, gram, c) with cut, what modified Kneser-Ney takes from c, from the counts of counts of each name."""
+    often = level.groupBy("name").agg(*(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, 5)))
+    share = F.expr("if(n1 > 0, n1 / (n1 + 2 * n2), 0.5D)")
+    cuts = [F.expr(f"if(n{r} > 0, least(greatest({r} - {r + 1} * share * n{r + 1} / n{r}, 0.05D), {r} - 0.05D), {r} / 2D)").alias(f"d{r}") for r in (1, 2, 3)]
+    return level.join(often.withColumn("share", share).select("name", *cuts), "name").withColumn("cut", F.expr("case c when 1 then d1 when 2 then d2 else d3 end")).select("name", "gram", "c", "cut")
+
+
+def log_probabilities(counts: DataFrame, alphabet: int) -> DataFrame:
+    """(name, gram, chance): the interpolated modified Kneser-Ney log probability of each gram of ORDER symbols in counts (name, code, n).
+
+    All of it is grouped sums and joins on grams, so a model may be of any size."""
+    levels = [counts.select("name", F.col("code").alias("gram"), F.col("n").alias("c"))]
+    for n in range(ORDER - 1, 0, -1):
+        levels.append(levels[-1].select("name", F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).groupBy("name", "gram").agg(F.count(F.lit(1)).alias("c")))
+    lower = None
+    for n, level in enumerate(reversed(levels), 1):
+        some = _discounted(level).withColumn("head", F.expr("shiftrightunsigned(gram, 16)"))
+        heads = some.groupBy("name", "head").agg(F.sum("c").alias("total"), F.sum("cut").alias("left"))
+        some = some.join(heads, ["name", "head"])
+        if lower is None:
+            some = some.withColumn("below", F.lit(1.0 / alphabet))
+        else:
+            some = some.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(lower.select("name", F.col("gram").alias("tail"), F.col("chance").alias("below")), ["name", "tail"])
+        lower = some.select("name", "gram", F.expr("(c - cut) / total + left / total * below").alias("chance"))
+    return lower.select("name", "gram", F.log("chance").alias("chance"))

@@ -1,13 +1,15 @@
 """Quality rules, and a character n-gram perplexity that must lie within its language's band.
 
-The modified Kneser-Ney models are counted by Spark over all texts, one per value of the language column,
-and broadcast as sorted hash arrays. Characters fall into 64 classes, which bounds a model to 64 ** 4
-grams; kneser_ney.collected prunes what exceeds GRAMS in all. A language's band reaches WIDTH robust
-deviations to either side of the median log perplexity of its texts that pass the rules, but never less
-than NARROW; the deviation is taken from the quartiles.
-
-A null text has no words and fails; a null language is a language of its own; equal rows get equal
-results; other columns are ignored; an empty table gives an empty result.
+The modified Kneser-Ney models of character 4-grams are counted and computed by Spark over all texts, one per
+value of the language column. A character is its code point (those beyond 16 bits share the 6,400 private
+ones), so every script is judged. As all texts are counted, each gram of a text has a probability; up to
+BROADCAST grams in all, these are broadcast as sorted hash arrays, and beyond it texts are scored by a join
+with the same results. A language's band reaches WIDTH robust deviations to either side of the median log
+perplexity of its texts that pass the rules, but never less than NARROW; the deviation is taken from the
+quartiles.
+
+A null text has no words and fails; a null language is a language of its own; a very long text is read whole;
+equal rows get equal results; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,16 +23,14 @@ from passagework.llm import kneser_ney as kn
 from passagework.llm import storage
 from passagework.llm.textbytes import Sums, chunks, column_bytes, mixed, tidy, words
 
-GRAMS, WIDTH, NARROW, MIN_WORDS, MAX_REPEATS = 4_000_000, 6.0, 0.15, 50, 50
+BROADCAST, WIDTH, NARROW, MIN_WORDS, MAX_REPEATS = 4_000_000, 6.0, 0.15, 50, 50
 SYMBOLS = b"#*$%&|<>"
-_classes = np.full(0x3000, 63, np.uint16)
-_classes[:128] = [2 if c in "\t\n\v\f\r" else 3 if c < " " else 4 if c.isdigit() else 5 if c.isupper() else 6 + ord(c) - 97 if c.islower() else 1 if c == " " else 32 + "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x7f".index(c) % 26 for c in map(chr, range(128))]
-_classes[0xC0:0x250] = [58 + p % 5 if not chr(p).isupper() else 5 for p in range(0xC0, 0x250)]
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols from 1 on, offsets): code points in 16 bits."""
     points, at = kn.code_points(data, offsets)
-    return _classes[np.minimum(points, 0x2FFF)], at
+    return np.where(points > 0xFFFF, 0xE000 + points % 6400, np.maximum(points, 1)).astype(np.uint16), at
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -74,12 +74,23 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: id, the five counts, base_failed, log_perplexity (nats a character, null without text), lower, upper, kept."""
-    few = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_name"), F.col(text_col).cast("string").alias("_text"))
-    counts = storage.saved(kn.counted(few, symbols), "grams")
-    grams = kn.collected(counts, GRAMS)
-    models = few.sparkSession.sparkContext.broadcast({name: kn.build({name: found}, 64, True)[1] for name, found in grams.items()})
+class Table:
+    """Log probabilities of the grams of each language, by hash."""
+
+    def __init__(self, rows):
+        self.of_name = {}
+        for name, g in rows.groupby("name"):
+            keys = kn.SortedHashes(g["gram"].to_numpy().astype(np.int64).view(np.uint64), 4)
+            self.of_name[name] = keys, g["chance"].to_numpy()[keys.order]
+            keys.order = None
+
+    def of(self, name: str, codes: np.ndarray) -> np.ndarray:
+        keys, chance = self.of_name[name]
+        return chance[keys.find(codes)]
+
+
+def _scored(table):
+    """Base counts of each text, and with a broadcast table its log perplexity."""
 
     def run(batches):
         for batch in batches:
@@ -87,23 +98,55 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i, j in chunks(offsets, kn.CHUNK):
                 text, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 name = batch.column(1).slice(i, j - i)
-                listed = np.array(name.to_pylist(), object)
                 found, place = symbols(text, at)
-                codes, size = kn.gram_codes(found, place), np.diff(place)
-                which = np.repeat(np.arange(j - i), size)
-                chance = np.zeros(len(codes))
-                for lang in set(listed):
-                    own = (listed == lang)[which]
-                    chance[own] = models.value[lang].of(codes[own])[:, 0] if lang in models.value else 0.0
-                mean = np.bincount(which, -chance, j - i) / np.maximum(size, 1)
+                size, mean = np.diff(place), np.zeros(j - i)
+                if table is not None:
+                    listed = np.array(name.to_pylist(), object)
+                    codes, which = kn.gram_codes(found, place), np.repeat(np.arange(j - i), np.diff(place))
+                    chance = np.zeros(len(codes))
+                    for lang in set(listed):
+                        own = (listed == lang)[which]
+                        if own.any():
+                            chance[own] = table.value.of(lang, codes[own])
+                    mean = np.bincount(which, -chance, j - i) / np.maximum(size, 1)
                 base = base_counts(text, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), name, *(pa.array(c) for c in base.T), pa.array(mean, mask=size == 0)], ["_id", "_name", *RESULT, "log_perplexity"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), name, *(pa.array(c) for c in base.T), pa.array(mean, mask=(size == 0) | (table is None)), *(c.slice(i, j - i) for c in batch.columns[3:])], ["_id", "_name", *RESULT, "log_perplexity", *batch.schema.names[3:]])
 
-    scored = few.mapInArrow(tidy(run), f"_id {dict(few.dtypes)['_id']}, _name string, " + ", ".join(f"{c} bigint" for c in RESULT) + ", log_perplexity double")
+    return run
+
+
+def _grams(batches):
+    """(_row, name, gram, n): the distinct grams of each text."""
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(2))
+        for i, j in chunks(offsets, kn.CHUNK):
+            found, place = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            codes = kn.gram_codes(found, place)
+            for k, (a, b) in enumerate(zip(place[:-1], place[1:])):
+                kinds, n = np.unique(codes[a:b], return_counts=True)
+                if len(kinds):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(3)[i + k].as_py()] * len(kinds), pa.int64()), pa.array([batch.column(1)[i + k].as_py()] * len(kinds), pa.string()), pa.array(kinds.view(np.int64)), pa.array(n)], ["_row", "name", "gram", "n"])
+
+
+def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of docs: id, the five counts, base_failed, log_perplexity (nats a character, null without text), lower, upper, kept."""
+    few = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("_name"), F.col(text_col).cast("string").alias("_text"))
+    counts = storage.saved(kn.counted(few, symbols), "grams")
+    chances = storage.saved(kn.log_probabilities(counts, 1 << 16), "chances")
+    schema = f"_id {dict(few.dtypes)['_id']}, _name string, " + ", ".join(f"{c} bigint" for c in RESULT) + ", log_perplexity double"
+    if chances.count() <= BROADCAST:
+        table = few.sparkSession.sparkContext.broadcast(Table(chances.toPandas()))
+        scored = few.mapInArrow(tidy(_scored(table)), schema)
+    else:
+        rows = storage.saved(few.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        asked = rows.mapInArrow(tidy(_grams), "_row bigint, name string, gram bigint, n bigint").join(chances, ["name", "gram"])
+        mean = asked.groupBy("_row").agg((-F.sum(F.col("n") * F.col("chance")) / F.sum("n")).alias("log_perplexity"))
+        scored = rows.mapInArrow(tidy(_scored(None)), schema + ", _row bigint").drop("log_perplexity").join(mean, "_row", "left").select("_id", "_name", *RESULT, "log_perplexity")
     scored = storage.saved(scored.withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATS} * n_words")), "scored")
+    storage.dropped(counts, chances)
     band = scored.where("not base_failed").groupBy("_name").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10_000).alias("q"))
     reach = F.greatest(F.lit(NARROW), WIDTH * 0.7413 * (F.col("q")[2] - F.col("q")[0]))
     band = band.select("_name", (F.col("q")[1] - reach).alias("lower"), (F.col("q")[1] + reach).alias("upper"))
-    joined = scored.join(F.broadcast(band) if len(grams) <= 10_000 else band, "_name", "left")
+    joined = scored.join(band, "_name", "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
     return joined.select(F.col("_id").alias(id_col), *RESULT, "base_failed", "log_perplexity", "lower", "upper", kept.alias("kept"))
