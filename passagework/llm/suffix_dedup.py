@@ -1,4 +1,4 @@
-"""Exact repeated-passage removal with suffix arrays.
+"""Repeated-passage removal with suffix arrays.
 
 A byte goes if a passage of `length` bytes over it also starts anywhere else in the corpus. A suffix
 array of the corpus would have a row for each byte, so texts are first narrowed down without loss: the
@@ -10,7 +10,11 @@ refinement (only groups that are not yet sorted are refined, doubling the depth)
 Kasai's bound in its permuted form, and an anchor with very many contexts is split over shards whose
 sorted passages are then merged by binary search.
 
-Null texts count as empty; texts under `length` bytes stay whole; repeated rows are repeats of each other
+Passages are compared byte by byte within a shard. Anchors, whole contexts (with their anchors) and the
+passages that shards exchange are compared by 64-bit hashes with fixed salts, so two unlike ones count as
+equal with a chance of 2 ** -64 a pair.
+
+Null texts count as empty; a very long text is hashed as a whole; texts under `length` bytes stay whole; repeated rows are repeats of each other
 even if they share an id; any columns but id and text are ignored; an empty table gives an empty result.
 """
 
@@ -214,13 +218,14 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc]), pa.array(lo, pa.int32()), pa.array(skip * 65536 + more, pa.int32()), pa.array(gram), pa.array(context)], ["_k", "pos", "pack", "h", "g"])
 
     spots = storage.saved(rows.select("_k", "_text").mapInArrow(tidy(narrowed), "_k bigint, pos int, pack int, h bigint, g bigint"), "anchors")
-    again = spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    again = storage.saved(spots.join(again, "h", "left_semi"), "again")
+    often = storage.saved(spots.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")  # written, so that Spark can split a hot anchor's join
+    again = storage.saved(spots.join(often, "h", "left_semi"), "again")
     kinds = again.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_k", "pos", "pack")).alias("at"))
     kinds = storage.saved(kinds, "contexts")
+    storage.dropped(spots, often)
     whole = again.join(kinds.where("n > 1").select("h", "g"), ["h", "g"], "left_semi")
     whole = whole.select("_k", F.col("pos").alias("lo"), F.expr(f"pos + pack % 65536 + {length}").cast("int").alias("hi"))
-    per = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 and single > 0")
+    per = storage.saved(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 and single > 0"), "anchors")
     edge = kinds.join(per, "h").select("h", "m", "at.*", (F.col("n") == 1).alias("own"), (F.col("m") > SPLIT).alias("split"), F.expr(f"cast(if(m > {SPLIT}, pmod(g, ceil(m / {SPLIT})), 0) as int)").alias("sub"))
     edge = storage.saved(edge.select("*", F.expr(f"pack % 65536 + {length}").alias("size")), "edges")
     volume = edge.agg(F.sum("size")).first()[0] or 0
@@ -230,7 +235,8 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> tuple[DataFrame, list[Data
     cut = cut.select("_k", F.explode(F.expr("transform(each, x -> struct(x.pos as pos, x.own as own, x.split as split, x.shard as shard, substring(bin, x.pos + 1, x.size) as context))")).alias("x")).select("_k", "x.*")
     asked = edge.where("split").agg(F.sum(F.expr("pack % 65536 + 1"))).first()[0] or 0
     found = storage.saved(cut.groupBy("shard").applyInArrow(_shard(length, storage.parts_for(asked, MERGE)), FOUND), "sorted")
-    tables, parts = [spots, again, kinds, edge, found], [whole, found.where("part is null").select("_k", "lo", "hi")]
+    storage.dropped(per, edge)
+    tables, parts = [again, kinds, found], [whole, found.where("part is null").select("_k", "lo", "hi")]
     if asked:
         parts.append(found.where("part is not null").groupBy("part").applyInArrow(_merge(length), "_k bigint, lo int, hi int"))
     spans = parts[0]
@@ -265,8 +271,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if length < 8 or length > 30_000:
         raise ValueError("length must be from 8 to 30000")
     rows, own = storage.keyed(docs, id_col, text_col)
-    spans, _ = repeats(rows, length)
-    listed = spans.groupBy("_k").agg(F.collect_list(F.struct("lo", "hi")).alias("each"))
+    spans, tables = repeats(rows, length)
+    listed = storage.saved(spans.groupBy("_k").agg(F.collect_list(F.struct("lo", "hi")).alias("each")), "spans")
+    storage.dropped(*tables)
     joined = rows.join(listed, "_k", "left")
     if not own:
         return joined.select("_k", "_text", "each").mapInArrow(tidy(_kept), "_k bigint, n_bytes bigint, kept binary, spans array<struct<start:int,end:int>>").withColumnRenamed("_k", id_col).withColumn(id_col, F.col(id_col).cast(dict(docs.dtypes)[id_col]))

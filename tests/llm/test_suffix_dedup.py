@@ -14,7 +14,8 @@ def brute(texts, length):
         for i in range(len(t) - length + 1):
             if seen[t[i : i + length]] > 1:
                 gone[i : i + length] = [True] * length
-        out.append(bytes(b for b, g in zip(t, gone) if not g))
+        runs = [(i, next((j for j in range(i, len(t)) if not gone[j]), len(t))) for i in range(len(t)) if gone[i] and not (i and gone[i - 1])]
+        out.append((bytes(b for b, g in zip(t, gone) if not g), runs))
     return out
 
 
@@ -36,11 +37,20 @@ def test_against_brute_force(spark, monkeypatch):
         rows = [(i, t.decode(), "x") for i, t in enumerate(texts)] + [(900, None, None), (None, "short", "y"), (5, texts[7].decode(), "z")]
         docs = spark.createDataFrame(rows, "doc_id int, text string, _text string").repartition(5)
         all_texts = [(r[1] or "").encode() for r in rows]
-        want = sorted((str(r[0]), len(t), k) for r, t, k in zip(rows, all_texts, brute(all_texts, length)))
-        got = sorted((str(r.doc_id), r.n_bytes, bytes(r.kept)) for r in S.suffix_dedup(docs, length=length).collect())
+        want = sorted((str(r[0]), len(t), *k) for r, t, k in zip(rows, all_texts, brute(all_texts, length)))
+        got = sorted((str(r.doc_id), r.n_bytes, bytes(r.kept), [(x.start, x.end) for x in r.spans]) for r in S.suffix_dedup(docs, length=length).collect())
         assert got == want
 
 
+def test_one_very_long_text(spark):
+    rng = random.Random(6)
+    part = "".join(rng.choices("abcdefgh ", k=3_000))
+    text = "".join(rng.choices("ijklmnop ", k=1_500_000)) + part + "".join(rng.choices("qrstuvw ", k=1_500_000)) + part
+    docs = spark.createDataFrame([(1, text), (2, "x " + part[100:400])], "doc_id long, text string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in S.suffix_dedup(docs).collect()}
+    assert got == {1: [(1_500_000, 1_503_000), (3_003_000, 3_006_000)], 2: [(2, 302)]}
+
+
 def test_unique_ids_and_empty(spark):
     base = "".join(random.Random(1).choices("xyz w", k=260))
     docs = spark.createDataFrame([(1, "left " + base), (2, base + " right"), (3, "")], "doc_id long, text string")
