@@ -279,8 +279,7 @@ def _sketches(size: int):
                 some = np.flatnonzero(np.diff(at))
                 for k, (times, plus) in enumerate(salts):
                     if len(some):
-                        x = (hashes ^ plus) * times
-                        least[k, some] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), at[:-1][some])
+                        least[k, some] = np.minimum.reduceat((hashes ^ plus) * times, at[:-1][some])
                 bands = np.zeros((BANDS, j - i), np.uint64)
                 for k in range(BANDS * ROWS):
                     bands[k // ROWS] = mixed(bands[k // ROWS] + least[k] + np.uint64(k // ROWS))
@@ -347,10 +346,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within the radius (generalised pigeonhole): each text is compared with the least of its component. A
     64-bit fingerprint cannot tell texts of similarity 0.8, which are 10 bits apart and up to 20, from
     unlike ones without comparing a share of all pairs, so second, texts that agree in one of BANDS bands of
-    ROWS least hashes: in a bucket the least keys lead (1, 16, 256, ... in turn), those after them that are not
+    ROWS least hashes: in a bucket the texts with most company in their buckets lead, as the original of many
+    near copies does (1, 1, 4, 16, ... in turn), those after them that are not
     yet connected to them are compared with them, and the others take the next turn, until all that are left
     in a bucket are connected. A pair of
-    similarity 0.8 agrees in no band with a chance of 0.0002 (0.9: 1e-7), and one that agrees is found.
+    similarity 0.8 agrees in no band with a chance of 0.0002 (0.9: 1e-7), and one that agrees is found. A dense group of
+    texts that are almost, but not quite, similar costs a comparison of each pair that agrees in a band.
 
     Null texts are empty; texts without words are similar to each other; a text of fewer words than `size` is
     one shingle. Keys are ids, or row numbers where ids repeat or are null. An empty table stays empty."""
@@ -368,22 +369,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = texts.select("k", "fp").join(components(near).select(F.col("u").alias("fp"), F.col("v").alias("at")), "fp", "left").select("k", F.coalesce("at", "fp").alias("at"))
     near = storage.saved(_starred(least.select("k", F.col("at").alias("b"))), "near")
     listed = texts.select("k", F.explode("bands").alias("b"))
-    often = listed.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
+    often = storage.saved(listed.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     live = storage.saved(listed.join(often, "b"), "buckets")
+    weight = live.groupBy("k").agg(F.sum("n").alias("w"))
+    live = storage.saved(live.drop("n").join(weight, "k"), "buckets")
     asked = live.select("k").unionByName(near.select("k")).unionByName(near.select(F.col("leader").alias("k"))).distinct()
     run, schema = _sets(size)
     sets = storage.saved(some.join(asked, "k", "left_semi").mapInArrow(tidy(run), schema), "sets")
     found, tables, turn = [_similar(near, sets, similarity)], [first, texts, near, live, sets], 0
     while live.limit(1).count():
         label = storage.saved(_rooted(live, found), "labels")
-        place = F.row_number().over(Window.partitionBy("b").orderBy("k"))
-        heads = storage.saved(label.withColumn("place", place).where(F.col("place") <= 16**turn).select("b", F.col("k").alias("leader"), F.col("root").alias("to")), "heads")
-        pairs = label.join(heads, "b").where("k > leader and root <> to").select("k", "leader").distinct()
+        place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("w"), "k"))
+        heads = label.withColumn("place", place).where(F.col("place") <= 4 ** max(turn - 1, 0)).select("b", F.col("k").alias("leader"), F.col("w").alias("most"), F.col("root").alias("to"))
+        heads = storage.saved(heads, "heads")
+        pairs = label.join(heads, "b").where("(w < most or w = most and k > leader) and root <> to").select("k", "leader").distinct()
         found.append(_similar(pairs, sets, similarity))
         label = _rooted(live, found).join(heads.select("b", F.col("leader").alias("k")), ["b", "k"], "left_anti")
         label = storage.saved(label, "labels")
-        several = label.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b")
-        live = storage.saved(label.select("b", "k").join(several, "b"), "buckets")
+        several = storage.saved(label.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b"), "several")
+        live = storage.saved(label.select("b", "k", "w").join(several, "b"), "buckets")
         tables += [heads, live]
         turn += 1
     out = _rooted(some.select("k"), found).where("k = root").select("k")
