@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passagework.llm import storage
 from passagework.llm.textbytes import chunks, column_bytes, mixed, starts, tidy
 
 ORDER, CHUNK = 4, 500_000
@@ -208,7 +209,8 @@ def log_probabilities(counts: DataFrame, alphabet: int) -> DataFrame:
     All of it is grouped sums and joins on grams, so a model may be of any size."""
     levels = [counts.select("name", F.col("code").alias("gram"), F.col("n").alias("c"))]
     for n in range(ORDER - 1, 0, -1):
-        levels.append(levels[-1].select("name", F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).groupBy("name", "gram").agg(F.count(F.lit(1)).alias("c")))
+        level = levels[-1].select("name", F.col("gram").bitwiseAND(F.lit((1 << 16 * n) - 1)).alias("gram")).groupBy("name", "gram").agg(F.count(F.lit(1)).alias("c"))
+        levels.append(storage.saved(level, f"counts{n}"))
     lower = None
     for n, level in enumerate(reversed(levels), 1):
         some = _discounted(level).withColumn("head", F.expr("shiftrightunsigned(gram, 16)"))
@@ -218,5 +220,8 @@ def log_probabilities(counts: DataFrame, alphabet: int) -> DataFrame:
             some = some.withColumn("below", F.lit(1.0 / alphabet))
         else:
             some = some.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 16 * (n - 1)) - 1))).join(lower.select("name", F.col("gram").alias("tail"), F.col("chance").alias("below")), ["name", "tail"])
-        lower = some.select("name", "gram", F.expr("(c - cut) / total + left / total * below").alias("chance"))
+        before, lower = lower, storage.saved(some.select("name", "gram", F.expr("(c - cut) / total + left / total * below").alias("chance")), f"order{n}")
+        if before is not None:
+            storage.dropped(before)
+    storage.dropped(*levels[1:])
     return lower.select("name", "gram", F.log("chance").alias("chance"))

@@ -77,11 +77,12 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 class Table:
     """Log probabilities of the grams of each language, by hash."""
 
-    def __init__(self, rows):
+    def __init__(self, chances: DataFrame):
         self.of_name = {}
-        for name, g in rows.groupby("name"):
-            keys = kn.SortedHashes(g["gram"].to_numpy().astype(np.int64).view(np.uint64), 4)
-            self.of_name[name] = keys, g["chance"].to_numpy()[keys.order]
+        for (name,) in chances.select("name").distinct().collect():
+            rows = chances.where(F.col("name") == name).select("gram", "chance").toArrow()
+            keys = kn.SortedHashes(rows["gram"].to_numpy().view(np.uint64), 4)
+            self.of_name[name] = keys, rows["chance"].to_numpy()[keys.order]
             keys.order = None
 
     def of(self, name: str, codes: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ def perplexity_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     chances = storage.saved(kn.log_probabilities(counts, 1 << 16), "chances")
     schema = f"_id {dict(few.dtypes)['_id']}, _name string, " + ", ".join(f"{c} bigint" for c in RESULT) + ", log_perplexity double"
     if chances.count() <= BROADCAST:
-        table = few.sparkSession.sparkContext.broadcast(Table(chances.toPandas()))
+        table = few.sparkSession.sparkContext.broadcast(Table(chances))
         scored = few.mapInArrow(tidy(_scored(table)), schema)
     else:
         rows = storage.saved(few.withColumn("_row", F.monotonically_increasing_id()), "rows")
