@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A term: letters, a fraction, or a number.
-TERM = r"\p{L}+|\d+/\d+|\d+"
+#: A term: a run of Devanagari with its vowel signs, letters with their marks, a fraction, or a number.
+TERM = "[\u0900-\u097f]+|[\\p{L}\\p{M}]+|\\d+/\\d+|\\d+"
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
 

@@ -41,10 +41,10 @@ def checks(questions: DataFrame) -> DataFrame:
 
 BASE = f"""q as (select b.item_id as qid, b.text as qtext, e.embedding as qv, e.label as qlabel from benchmark b join embeddings e on e.vec_id = b.item_id),
 c as (select d.doc_id as cid, d.text, d.lang, d.n_chars, e.embedding as cv, e.label from documents d join embeddings e on e.vec_id = d.doc_id where d.doc_id not in (select item_id from benchmark)),
-posts as (select distinct cid, unnest(regexp_extract_all(lower(text), '\\p{{L}}+|\\d+/\\d+|\\d+')) as term from c),
+posts as (select distinct cid, unnest(regexp_extract_all(lower(text), '[ऀ-ॿ]+|[\\p{{L}}\\p{{M}}]+|\\d+/\\d+|\\d+')) as term from c),
 n as (select greatest(count(*), 1) as n from c),
 idf as (select term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) as idf from (select term, count(*) as df from posts group by term), n),
-qt as (select distinct qid, term from (select qid, unnest(regexp_extract_all(lower(qtext), '\\p{{L}}+|\\d+/\\d+|\\d+')) as term from q) where term not in ({STOP})),
+qt as (select distinct qid, term from (select qid, unnest(regexp_extract_all(lower(qtext), '[ऀ-ॿ]+|[\\p{{L}}\\p{{M}}]+|\\d+/\\d+|\\d+')) as term from q) where term not in ({STOP})),
 qw as (select qid, term, coalesce(idf, ln(1.0 + n)) as w, idf is not null as known from qt left join idf using (term), n),
 lex as (select qid, cid, sum(w) / any_value(total) as lex from (select *, sum(w) over (partition by qid) as total from qw) join posts using (term) group by qid, cid),
 pairs as (select qid, cid, list_dot_product(qv::double[], cv::double[]) as dense, coalesce(lex, 0) as lex from q cross join c left join lex using (qid, cid)),
@@ -228,7 +228,7 @@ curve as (select design, mills / 1000.0 as threshold, round(count(*) filter (acc
   count(*) filter (accepted) as answered, round(1 - count(*) filter (accepted) / count(*), 4) as refusal_rate from tried group by design, mills)"""
 _REL = f"{BASE}, rel as (select r.*, qlabel = label as hit from ranked r join q using (qid) join c using (cid)), first as (select qid, min(rank) filter (hit) as first_rank, count(*) filter (hit) as relevant from rel group by qid)"
 _KEY = f"{BASE}, v as (select qid, term, round(case when known then w else 99 end, 6) as weight from qw where length(term) > 2), key as (select * from (select qid, row_number() over (partition by qid order by weight desc, term) as n, term, weight from v) where n <= 2)"
-_TERMS = "regexp_extract_all(lower({}), '\\p{{L}}+|\\d+/\\d+|\\d+')"
+_TERMS = "regexp_extract_all(lower({}), '[ऀ-ॿ]+|[\\p{{L}}\\p{{M}}]+|\\d+/\\d+|\\d+')"
 
 QUERIES = {
     "q_idf": (q_idf, f"with {BASE} select term, df, round(idf, 6) as idf from idf"),

@@ -127,3 +127,10 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark)
     assert rows.count() > 0 and rows.columns[:2] == ["qid", "refuse"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_terms_keep_vowel_signs(spark):
+    from passagework.functions import text
+
+    rows = spark.createDataFrame([("यह किताब 3/4 बच्चों की है, café 12",)], "t string")
+    assert rows.select(text.terms(rows.t)).first()[0] == ["यह", "किताब", "3/4", "बच्चों", "की", "है", "café", "12"]
