@@ -34,6 +34,8 @@ from passagework.llm.textbytes import MAX, bundled, chunks, column_bytes, lowere
 CHUNK, SAMPLE, BLOCK = 2_000_000, 20_000, 8_192
 #: Bands of near_duplicates, and least hashes in each; bytes that go to a Python worker at once there.
 BANDS, ROWS = 16, 4
+#: Rounds with a leader there; texts and bytes of a block of those left, and places of shingles counted at once.
+TURNS, TEXTS, WEIGHT, PLACES = 2, 512, 8_000_000, 2_000_000
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 #: Cost of a probe row and of a compared pair, in ns: they weigh the plan only.
 ROW_NS, PAIR_NS = 10_000, 4
@@ -203,27 +205,38 @@ def forest(values: np.ndarray, centre: np.ndarray, group: np.ndarray, radius: in
     return values[apart], values[root[apart]]
 
 
+def whole_groups(batches):
+    """Tables of the rows of batches that are sorted by group, each with all rows of its groups."""
+    kept = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]).combine_chunks()
+        group = rows["group"].to_numpy()
+        whole = int(np.searchsorted(group, group[-1])) if len(group) else 0
+        if whole:
+            yield rows.slice(0, whole).combine_chunks()
+        kept = rows.slice(whole)
+    if kept is not None and len(kept):
+        yield kept.combine_chunks()
+
+
 def _buckets(radius: int):
     def run(batches):
-        kept = None
-
-        def edges(rows):
+        for rows in whole_groups(batches):
             a, b = forest(rows["fp"].to_numpy().view(np.uint64), rows["centre"].to_numpy(zero_copy_only=False), rows["group"].to_numpy(), radius, rows["side"].to_numpy())
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if kept is None else [*kept.to_batches(), batch]).combine_chunks()
-            group = rows["group"].to_numpy()
-            whole = int(np.searchsorted(group, group[-1])) if len(group) else 0
-            if whole:
-                yield edges(rows.slice(0, whole).combine_chunks())
-            kept = rows.slice(whole)
-        if kept is not None and len(kept):
-            yield edges(kept.combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return run
 
 
+def dealt(rows: DataFrame, more: str, by: str) -> DataFrame:
+    """rows with group and side: those of a bucket (column `more`) in one group, or, over `blocks` 1, in a group for each pair of its blocks.
+
+    blocks: a column of rows; by: the column by which rows are dealt out to blocks. side: 0 within a block, else which block of the pair (1, 2)."""
+    rows = rows.withColumn("own", F.expr(f"cast(pmod(xxhash64({by}, 1), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    group = F.expr(f"if(blocks = 1, {more}, xxhash64({more}, least(own, other), greatest(own, other)))")
+    return rows.withColumn("group", group).withColumn("side", F.expr("if(own = other, 0, if(own < other, 1, 2))"))
+
+
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """(a, b) edges whose components are those of all distinct fingerprints (column fp) within the radius."""
     total = max(1_000, nodes.count())
@@ -233,9 +246,8 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
     rows = nodes.select("fp", F.inline(F.arrays_zip(part.alias("part"), mask.alias("mask"), change.alias("change"))).alias("part", "mask", "change"))
     rows = rows.select("fp", (F.col("change") == 0).alias("centre"), F.expr("xxhash64(part, (fp & mask) ^ change)").alias("group"))
     heavy = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(f"n > {BLOCK}")
-    rows = rows.join(heavy, "group", "left").withColumn("blocks", F.expr(f"cast(coalesce(ceil(n / {BLOCK}), 1) as int)")).withColumn("own", F.expr("cast(pmod(xxhash64(fp, 1), blocks) as int)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("fp", "centre", F.expr("if(blocks = 1, group, xxhash64(group, least(own, other), greatest(own, other)))").alias("group"), F.expr("if(own = other, 0, if(own < other, 1, 2))").alias("side"))
+    rows = rows.join(heavy, "group", "left").withColumn("blocks", F.expr(f"cast(coalesce(ceil(n / {BLOCK}), 1) as int)"))
+    rows = dealt(rows.withColumnRenamed("group", "bucket"), "bucket", "fp").select("fp", "centre", "group", "side")
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_buckets(radius)), "a bigint, b bigint")
 
 
@@ -338,6 +350,64 @@ def _rooted(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
     return rows.join(joined.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
 
+def similar_forest(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of similar sets that join what no chain of pairs and no common root joins yet; sides as in forest()."""
+    size = np.array([len(x) for x in sets], np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    of = np.repeat(np.arange(len(sets)), size)
+    _, item, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True, return_counts=True)
+    rows = of[np.argsort(item, kind="stable")]  # of each item, the sets that have it
+    at = np.concatenate(([0], np.cumsum(count)))
+    label, out = np.unique(root, return_inverse=True)[1], []
+    for i in np.flatnonzero(side < 2):
+        open_ = (side == (2 if side[i] else 0)) & (label != label[i])
+        if not side[i]:
+            open_[:i] = False
+        if not open_.any():
+            continue
+        own, shared = item[begin[i] : begin[i + 1]], np.zeros(len(sets), np.int64)
+        number = np.concatenate(([0], np.cumsum(count[own])))
+        for a, b in chunks(number, PLACES):
+            few = count[own[a:b]]
+            place = np.arange(number[b] - number[a]) - np.repeat(number[a:b] - number[a], few) + np.repeat(at[own[a:b]], few)
+            shared += np.bincount(rows[place], minlength=len(sets))
+        for j in np.flatnonzero(open_ & (shared >= similarity * (size[i] + size - shared))):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(i), int(j)))
+    return out
+
+
+def _forests(similarity: float):
+    def run(batches):
+        for rows in whole_groups(batches):
+            k, root, side, group = (rows[c].to_numpy() for c in ("k", "root", "side", "group"))
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+            pairs = []
+            for a, b in zip(first[:-1], first[1:]):
+                if (root[a:b] != root[a]).any():
+                    sets = [np.cumsum(unbundled(x.as_py(), np.uint64)[0], dtype=np.uint64) for x in rows["shingles"].slice(a, b - a)]
+                    pairs += [(k[a + i], k[a + j]) for i, j in similar_forest(sets, root[a:b], side[a:b], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([max(x) for x in pairs], pa.int64()), pa.array([min(x) for x in pairs], pa.int64())], ["k", "leader"])
+
+    return run
+
+
+def _rest(label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs (k, leader) that connect what is similar in each bucket of label (b, k, root), a spanning forest of each bucket's links, written.
+
+    Buckets are compared whole; one of over TEXTS texts or WEIGHT bytes is dealt out as pairs of blocks."""
+    listed = label.join(sets.select("k", F.octet_length("shingles").alias("bytes")), "k")
+    heavy = listed.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("bytes") / WEIGHT), F.lit(1)).cast("int").alias("blocks"))
+    heavy = storage.saved(heavy, "heavy")
+    rows = storage.saved(dealt(label.join(heavy, "b"), "b", "k").select("k", "root", "group", "side"), "dealt")
+    rows = rows.join(sets, "k").select("k", "root", "group", "side", "shingles")
+    rows = rows.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_forests(similarity)), "k bigint, leader bigint")
+    found = storage.saved(rows, "similar", ARROW)
+    storage.dropped(heavy)
+    return found
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 6, similarity: float = 0.8) -> DataFrame:
     """The rows of docs without near-duplicates: of each group one stays, that of the least key, all its columns with it.
 
@@ -346,12 +416,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within the radius (generalised pigeonhole): each text is compared with the least of its component. A
     64-bit fingerprint cannot tell texts of similarity 0.8, which are 10 bits apart and up to 20, from
     unlike ones without comparing a share of all pairs, so second, texts that agree in one of BANDS bands of
-    ROWS least hashes: in a bucket the texts with most company in their buckets lead, as the original of many
-    near copies does (1, 1, 4, 16, ... in turn), those after them that are not
-    yet connected to them are compared with them, and the others take the next turn, until all that are left
-    in a bucket are connected. A pair of
-    similarity 0.8 agrees in no band with a chance of 0.0002 (0.9: 1e-7), and one that agrees is found. A dense group of
-    texts that are almost, but not quite, similar costs a comparison of each pair that agrees in a band.
+    ROWS least hashes: in a bucket the text with most company in its buckets leads, as the original of many
+    near copies does, and those not yet connected to it are compared with it, TURNS times. Buckets in which
+    several groups are left are then compared whole: shared shingles of all their texts are counted in
+    blocks, and only a spanning forest of the similar pairs leaves them. So a dense group of texts that are
+    almost, but not quite, similar costs a count for each pair that agrees in a band, but no row. A pair of
+    similarity 0.8 agrees in no band with a chance of 0.0002 (0.9: 1e-7), and one that agrees is found.
 
     Null texts are empty; texts without words are similar to each other; a text of fewer words than `size` is
     one shingle. Keys are ids, or row numbers where ids repeat or are null. An empty table stays empty."""
@@ -376,11 +446,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = live.select("k").unionByName(near.select("k")).unionByName(near.select(F.col("leader").alias("k"))).distinct()
     run, schema = _sets(size)
     sets = storage.saved(some.join(asked, "k", "left_semi").mapInArrow(tidy(run), schema), "sets")
-    found, tables, turn = [_similar(near, sets, similarity)], [first, texts, near, live, sets], 0
-    while live.limit(1).count():
+    found, tables = [_similar(near, sets, similarity)], [first, texts, near, live, sets]
+    for _ in range(TURNS):
+        if not live.limit(1).count():
+            break
         label = storage.saved(_rooted(live, found), "labels")
         place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("w"), "k"))
-        heads = label.withColumn("place", place).where(F.col("place") <= 4 ** max(turn - 1, 0)).select("b", F.col("k").alias("leader"), F.col("w").alias("most"), F.col("root").alias("to"))
+        heads = label.withColumn("place", place).where("place = 1").select("b", F.col("k").alias("leader"), F.col("w").alias("most"), F.col("root").alias("to"))
         heads = storage.saved(heads, "heads")
         pairs = label.join(heads, "b").where("(w < most or w = most and k > leader) and root <> to").select("k", "leader").distinct()
         found.append(_similar(pairs, sets, similarity))
@@ -389,7 +461,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         several = storage.saved(label.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b"), "several")
         live = storage.saved(label.select("b", "k", "w").join(several, "b"), "buckets")
         tables += [heads, live]
-        turn += 1
+    if live.limit(1).count():
+        label = storage.saved(_rooted(live, found), "labels")
+        found.append(_rest(label, sets, similarity))
+        tables.append(label)
     out = _rooted(some.select("k"), found).where("k = root").select("k")
     out = storage.saved(out, "stay")
     storage.dropped(*tables, *found)

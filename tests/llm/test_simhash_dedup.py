@@ -73,3 +73,46 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(7, 7), (200, 201), (300, 200)], "a long, b long")
     got = {r.u: r.v for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 101)} | {201: 200, 300: 200}
+
+
+def test_forest_of_similar_sets():
+    rng = np.random.default_rng(4)
+    for case in range(60):
+        n = int(rng.integers(1, 40))
+        sets = [np.unique(rng.choice(30, int(rng.integers(0, 6)))).astype(np.uint64) for _ in range(n)]
+        root, side = rng.integers(0, n + 1, n), rng.integers(1, 3, n) if case % 2 else np.zeros(n, int)
+
+        def components(pairs):
+            label = list(range(n))
+            for i, j in pairs:
+                label = [label[i] if x == label[j] else x for x in label]
+            return {frozenset(k for k in range(n) if label[k] == x) for x in label}
+
+        given = [(i, j) for i in range(n) for j in range(i) if root[i] == root[j]]
+        alike = [(i, j) for i in range(n) for j in range(i) if side[i] + side[j] in (0, 3) and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))]
+        found = S.similar_forest(sets, root, side, 0.8)
+        assert components(given + found) == components(given + alike) and len(found) < n
+        assert all((i, j) in alike or (j, i) in alike for i, j in found)
+
+
+def test_blocks_of_a_bucket_leave_no_pair_out(spark, monkeypatch):
+    """Texts that no leader joins, in buckets dealt out as pairs of blocks."""
+    monkeypatch.setattr(S, "TEXTS", 7)
+    monkeypatch.setattr(S, "TURNS", 0)
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(200)]
+    texts = []
+    for i in range(70):
+        w = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 4, 5, 6])):
+            w[at] = f"edit{i}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    root = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert {r.doc_id for r in S.near_duplicates(docs).collect()} == set(root)
