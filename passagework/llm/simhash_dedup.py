@@ -339,15 +339,19 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return storage.saved(found.where("alike").select("k", "leader"), "similar", ARROW)
 
 
-def _rooted(rows: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """rows with root, the least key that the similar pairs found so far lead to."""
-    if not found:
-        return rows.withColumn("root", F.col("k"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.unionByName(more)
-    joined = components(edges.select(F.col("k").alias("a"), F.col("leader").alias("b")))
-    return rows.join(joined.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left").withColumn("root", F.coalesce("root", "k"))
+def _grown(star: DataFrame | None, found: DataFrame) -> DataFrame:
+    """(u, v) as components() gives it for the links that star stands for and the similar pairs found since; star goes."""
+    edges = found.select(F.col("k").alias("a"), F.col("leader").alias("b"))
+    if star is None:
+        return components(edges)
+    now = components(edges.unionByName(star.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    storage.dropped(star)
+    return now
+
+
+def _rooted(rows: DataFrame, star: DataFrame) -> DataFrame:
+    """rows with root, the least key that similar pairs lead to."""
+    return rows.join(star.select(F.col("u").alias("k"), F.col("v").alias("root")), "k", "left").withColumn("root", F.coalesce("root", "k"))
 
 
 def similar_forest(sets: list[np.ndarray], root: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -400,11 +404,11 @@ def _rest(label: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     listed = label.join(sets.select("k", F.octet_length("shingles").alias("bytes")), "k")
     heavy = listed.groupBy("b").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TEXTS), F.ceil(F.sum("bytes") / WEIGHT), F.lit(1)).cast("int").alias("blocks"))
     heavy = storage.saved(heavy, "heavy")
-    rows = storage.saved(dealt(label.join(heavy, "b"), "b", "k").select("k", "root", "group", "side"), "dealt")
-    rows = rows.join(sets, "k").select("k", "root", "group", "side", "shingles")
+    placed = storage.saved(dealt(label.join(heavy, "b"), "b", "k").select("k", "root", "group", "side"), "dealt")
+    rows = placed.join(sets, "k").select("k", "root", "group", "side", "shingles")
     rows = rows.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(_forests(similarity)), "k bigint, leader bigint")
     found = storage.saved(rows, "similar", ARROW)
-    storage.dropped(heavy)
+    storage.dropped(heavy, placed)
     return found
 
 
@@ -446,28 +450,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = live.select("k").unionByName(near.select("k")).unionByName(near.select(F.col("leader").alias("k"))).distinct()
     run, schema = _sets(size)
     sets = storage.saved(some.join(asked, "k", "left_semi").mapInArrow(tidy(run), schema), "sets")
-    found, tables = [_similar(near, sets, similarity)], [first, texts, near, live, sets]
+    found = _similar(near, sets, similarity)
+    star, tables = _grown(None, found), [first, texts, near, sets, found]
+    live = storage.saved(_rooted(live, star), "labels")
     for _ in range(TURNS):
         if not live.limit(1).count():
             break
-        label = storage.saved(_rooted(live, found), "labels")
         place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("w"), "k"))
-        heads = label.withColumn("place", place).where("place = 1").select("b", F.col("k").alias("leader"), F.col("w").alias("most"), F.col("root").alias("to"))
+        heads = live.withColumn("place", place).where("place = 1").select("b", F.col("k").alias("leader"), F.col("w").alias("most"), F.col("root").alias("to"))
         heads = storage.saved(heads, "heads")
-        pairs = label.join(heads, "b").where("(w < most or w = most and k > leader) and root <> to").select("k", "leader").distinct()
-        found.append(_similar(pairs, sets, similarity))
-        label = _rooted(live, found).join(heads.select("b", F.col("leader").alias("k")), ["b", "k"], "left_anti")
-        label = storage.saved(label, "labels")
+        pairs = live.join(heads, "b").where("(w < most or w = most and k > leader) and root <> to").select("k", "leader").distinct()
+        found = _similar(pairs, sets, similarity)
+        star = _grown(star, found)
+        label = storage.saved(_rooted(live.drop("root"), star).join(heads.select("b", F.col("leader").alias("k")), ["b", "k"], "left_anti"), "labels")
         several = storage.saved(label.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("b"), "several")
-        live = storage.saved(label.select("b", "k", "w").join(several, "b"), "buckets")
-        tables += [heads, live]
+        tables += [heads, found, live, several]
+        live = storage.saved(label.join(several, "b"), "buckets")
+        storage.dropped(label)
     if live.limit(1).count():
-        label = storage.saved(_rooted(live, found), "labels")
-        found.append(_rest(label, sets, similarity))
-        tables.append(label)
-    out = _rooted(some.select("k"), found).where("k = root").select("k")
+        found = _rest(live, sets, similarity)
+        tables.append(found)
+        star = _grown(star, found)
+    out = _rooted(some.select("k"), star).where("k = root").select("k")
     out = storage.saved(out, "stay")
-    storage.dropped(*tables, *found)
+    tables += [live, star]
+    storage.dropped(*tables)
     if own:
         return whole.join(out.select(F.col("k").alias("_row")), "_row", "left_semi").drop("_row")
     return docs.join(out.select(F.col("k").alias(id_col)), id_col, "left_semi").select(docs.columns)
