@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.functions import rules
 from passagework.functions import text as T
 
 #: Reasons of a refusal whose page a parent may be shown, and what is said for it.
@@ -70,24 +69,12 @@ def stub(passage: Column, question: Column) -> Column:
     return F.format_string("3. जैसे %s और %s", two[0], two[1])
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
-
-
-def _window(a: str | None, b: str | None) -> str | None:
-    if a is None or b is None:
-        return None
-    return min((b[i : i + len(a)] for i in range(max(1, len(b) - len(a) + 1))), key=lambda w: _distance(a, w))
-
-
 def best_window(wanted: Column, text: Column) -> Column:
-    """The part of text, as long as `wanted`, with the least edit distance from it; the first on ties."""
-    return F.pandas_udf(lambda a, b: pd.Series([_window(x, y) for x, y in zip(a, b)], dtype=object), "string", functionType=F.PandasUDFType.SCALAR)(wanted, text)
+    """The part of text, as long as `wanted`, with the least edit distance from it; the first on ties; null if either is."""
+    n = F.length(wanted)
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1))
+    found = F.array_min(F.transform(at, lambda i: F.struct(F.levenshtein(wanted, F.substring(text, i, n)).alias("d"), i.alias("i"))))
+    return F.substring(text, found["i"], n)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,8 +84,21 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def signed(body: Column, signature: Column, secret: str) -> Column:
-    """Whether a signature `sha256=<hex>` is the body's under the secret, compared in constant time."""
-    def check(bodies: pd.Series, given: pd.Series) -> pd.Series:
-        return pd.Series([b is not None and s is not None and hmac.compare_digest("sha256=" + hmac.new(secret.encode(), b.encode(), hashlib.sha256).hexdigest(), s) for b, s in zip(bodies, given)])
-
-    return F.pandas_udf(check, "boolean", functionType=F.PandasUDFType.SCALAR)(body, signature)
+    """Whether a signature `sha256=<hex>` is the body's under the secret (HMAC); digests are compared, so timing tells nothing."""
+    key = secret.encode()
+    key = (key if len(key) <= 64 else hashlib.sha256(key).digest()).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(k ^ x for k in key))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), body.cast("binary")), 256))
+    wanted = F.concat(F.lit("sha256="), F.sha2(F.concat(pad(0x5C), inner), 256))
+    return F.coalesce(F.sha2(wanted, 256) == F.sha2(signature, 256), F.lit(False))
+
+
+def gate(question: Column, lead: Column, review: Column, axis: Column, all_axis: Column, score: Column, margin: float = 0.08, floor: float = 0.30) -> Column:
+    """struct(refuse, reason, layer): the question's own check, then other books, review flag, chart axes, similarity."""
+    p = rules.pre_check(question)
+    say = lambda reason, layer: F.struct(F.lit(True).alias("refuse"), reason.alias("reason"), F.lit(layer).cast("string").alias("layer"))
+    return (
+        F.when(p["outcome"] != "pass", say(p["reason"], "query_pre_check")).when(lead >= margin, say(F.lit("out_of_syllabus_by_margin"), "class_metadata")).when(review, say(F.lit("chunk_below_extraction_gate"), "chunk_flag"))
+        .when(rules.value_seeking(question) & axis & all_axis, say(F.lit("answer_is_in_a_chart"), "chart_axis")).when(score < floor, say(F.lit("below_similarity_floor"), "similarity"))
+        .otherwise(F.struct(F.lit(False).alias("refuse"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("layer")))
+    )

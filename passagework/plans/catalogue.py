@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.plans import answers, measures, pages, retrieval, rules
+from passagework.plans import answers, measures, pages, records, retrieval, rules
 
-MODULES = [retrieval, rules, answers, measures, pages]
+MODULES = [retrieval, rules, answers, measures, pages, records]
 
 
 def queries() -> dict:

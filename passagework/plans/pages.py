@@ -151,7 +151,7 @@ def q_feed_routes(spark, sf):
 
 
 def q_page_hosts(spark, sf):
-    """Query parameters of crawled addresses."""
+    """Hosts of crawled addresses, and how much text their pages have."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     return pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.length(F.regexp_replace("html", "<[^>]*>", " ")).alias("chars"))
 
