@@ -120,12 +120,14 @@ def q_base64(spark, sf):
 
 
 def running_ids(rows, key, width=4_096):
-    """rows with rid, a running number by key (unique, from 0): numbers within ranges of keys plus what ranges before hold, so that no task sorts all rows."""
+    """rows with rid, a running number by key (from 0): numbers within ranges of keys plus what ranges before hold, so that no task sorts all rows.
+
+    Null keys come first; rows of one key get different numbers, in any order. An empty table stays empty."""
     rows = rows.withColumn("_range", F.floor(F.col(key) / width))
     sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    before = sizes.select(F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return rows.withColumn("rid", place).join(before, "_range").withColumn("rid", F.col("rid") + F.col("_before")).drop("_range", "_before")
+    return rows.withColumn("rid", place).join(before, F.col("_range").eqNullSafe(F.col("_at"))).withColumn("rid", F.col("rid") + F.col("_before")).drop("_range", "_at", "_before")
 
 
 def q_running_id(spark, sf):

@@ -134,3 +134,25 @@ def test_terms_keep_vowel_signs(spark):
 
     rows = spark.createDataFrame([("यह किताब 3/4 बच्चों की है, café 12",)], "t string")
     assert rows.select(text.terms(rows.t)).first()[0] == ["यह", "किताब", "3/4", "बच्चों", "की", "है", "café", "12"]
+
+
+def test_running_ids_with_nulls_and_gaps(spark):
+    from passagework.plans.records import running_ids
+
+    keys = [None, 3, None, 9_000, 5, 4_096, -1, 123_456]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = sorted((r.rid, r.k) for r in running_ids(rows, "k").collect())
+    assert got == list(enumerate([None, None, -1, 3, 5, 4_096, 9_000, 123_456]))
+    assert running_ids(rows.limit(0), "k").count() == 0
+
+
+def test_signatures_against_hmac(spark):
+    import hashlib
+    import hmac
+
+    from passagework.operators import replies
+
+    for secret in ("s", "long" * 40):
+        right = "sha256=" + hmac.new(secret.encode(), "बात".encode(), hashlib.sha256).hexdigest()
+        rows = spark.createDataFrame([("बात", right), ("बात", right.upper()), ("x", right), (None, right), ("बात", None), ("", "")], "b string, s string")
+        assert [r.ok for r in rows.select(replies.signed(F.col("b"), F.col("s"), secret).alias("ok")).collect()] == [True, False, False, False, False, False]
