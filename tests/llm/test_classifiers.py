@@ -107,6 +107,22 @@ def test_base_counts():
     assert list(map(tuple, base_counts(np.frombuffer(b"".join(data), np.uint8), offsets).tolist())) == want
 
 
+def test_thue_morse_words_and_lines_differ():
+    from passagework.llm.textbytes import Sums
+
+    for n in (1024, 4096):
+        one = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+        other = one.translate(str.maketrans("ab", "ba"))
+        data = [f"{one}\n{other}".encode(), f"{one} x y {other} x y".encode(), f"{one}\n{one}".encode()]
+        offsets = np.cumsum([0, *map(len, data)])
+        whole = np.frombuffer(b"".join(data), np.uint8)
+        assert base_counts(whole, offsets)[:, 3:].tolist() == [[0, 0], [0, 0], [1, 0]]
+        at = np.array([0, n + 1, offsets[1], offsets[2]])
+        hashes = Sums(whole).of(at, at + n)
+        assert len(set(hashes.tolist())) == 2 and hashes[0] == hashes[2] == hashes[3]
+        assert Sums(whole[n + 1 :].copy()).of(np.array([0]), np.array([n]))[0] == hashes[1]
+
+
 def test_perplexity_bands(documents):
     got = perplexity_rules(documents.withColumn("kept", F.lit(1))).join(documents.select("doc_id", "text", "quality"), "doc_id").toPandas()
     long = got[~got.base_failed]
