@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from passagework.sources import shared
+
 BODY = "struct<entry:array<struct<changes:array<struct<value:struct<messages:array<struct<id:string,`from`:string,type:string,text:struct<body:string>,audio:struct<id:string>>>,statuses:array<struct<id:string>>>>>>>>"
 #: How long a message id is remembered, and the longest question.
 REMEMBERED, LONGEST = "1 hour", 500
@@ -38,11 +40,20 @@ def route(kind: Column, text: Column) -> Column:
 
 
 def finished(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame over all that its source has and return the result."""
-    name = f"feed_{uuid.uuid4().hex}"
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a streaming DataFrame over all that its source has and return the result.
+
+    Executors write what each micro-batch gives into a folder of its own beneath the shared one, anew if it is redone; no rows pass through the driver."""
+    spark = rows.sparkSession
+    path = f"{shared.shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+
+    def written(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{'whole' if mode == 'complete' else number}")
+
+    query = rows.writeStream.foreachBatch(written).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return rows.sparkSession.table(name)
+    shared.removed(spark, f"{path}-state")
+    found = spark.createDataFrame([], rows.schema)
+    return spark.read.schema(rows.schema).parquet(f"{path}/*") if shared.exists(spark, path) else found
 
 
 def session_memory(rows: DataFrame, session: str, order: str, last: int = 3) -> DataFrame:
@@ -83,7 +94,7 @@ def _events(spark: SparkSession, path: str) -> DataFrame:
 def deduplicated_feed(spark: SparkSession, path: str) -> DataFrame:
     """Events delivered twice, handled once."""
     events = _events(spark, path)
-    twice = events.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+    twice = events.select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("delivery"))
     return finished(handled_once(twice, "event_id", "ts"))
 
 

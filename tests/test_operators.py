@@ -156,3 +156,19 @@ def test_signatures_against_hmac(spark):
         right = "sha256=" + hmac.new(secret.encode(), "बात".encode(), hashlib.sha256).hexdigest()
         rows = spark.createDataFrame([("बात", right), ("बात", right.upper()), ("x", right), (None, right), ("बात", None), ("", "")], "b string, s string")
         assert [r.ok for r in rows.select(replies.signed(F.col("b"), F.col("s"), secret).alias("ok")).collect()] == [True, False, False, False, False, False]
+
+
+@pytest.mark.parametrize("mode", ["append", "complete", "update"])
+def test_feed_results_stay_with_the_executors(spark, tmp_path, mode):
+    spark.range(50).select((F.col("id") % 20).alias("id"), F.timestamp_seconds(F.col("id")).alias("at")).write.parquet(str(tmp_path / "feed"))
+    stream = spark.readStream.schema("id bigint, at timestamp").parquet(str(tmp_path / "feed"))
+    rows = feeds.handled_once(stream, "id", "at").select("id") if mode == "append" else stream.groupBy("id").count().select("id")
+    found = feeds.finished(rows, mode)
+    assert found.inputFiles() and sorted(r.id for r in found.collect()) == list(range(20))
+
+
+def test_feed_without_files(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    stream = spark.readStream.schema("id bigint, at timestamp").parquet(str(tmp_path / "feed"))
+    found = feeds.finished(feeds.handled_once(stream, "id", "at"))
+    assert found.columns == ["id", "at"] and not found.collect()
