@@ -16,22 +16,29 @@ from passagework.operators import retrieval as R
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
+#: Ids of vectors up to which they are broadcast, to drop other documents before texts are read further.
+IDS = 4_000_000
+
+
 def tables(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Questions and chunks. What is taken from a text is taken before the join, so that texts are dealt out only to queries that return parts of them."""
     read = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
     vectors = read("embeddings")
     items = read("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
     questions = items.join(vectors.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("qlabel")), "qid")
     chunks = read("documents").join(items.select(F.col("qid").alias("doc_id")), "doc_id", "left_anti")
-    chunks = chunks.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("cid"), "text", "lang", "n_chars", F.col("embedding").alias("cv"), "label")
-    return questions, chunks
+    if vectors.count() <= IDS:
+        chunks = chunks.join(F.broadcast(vectors.select(F.col("vec_id").alias("doc_id"))), "doc_id", "left_semi")
+    text = F.col("text")
+    chunks = chunks.select(
+        "doc_id", "text", "lang", "n_chars", R.asked_terms(text, items).alias("asked"), text.contains(" | ").alias("chart_axis"), text.rlike("[0-9]").alias("has_numbers"),
+        F.regexp_count(text, F.lit("ti")).alias("outside_hits"), F.regexp_count(text, F.lit("the")).alias("inside_hits"),
+    )
+    return questions, chunks.join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id").withColumnsRenamed({"doc_id": "cid", "embedding": "cv"})
 
 
 def flags(chunks: DataFrame) -> DataFrame:
-    text = F.col("text")
-    return chunks.select(
-        "cid", "label", (F.col("label") % 2 == 0).alias("in_syllabus"), (F.col("n_chars") < 200).alias("needs_review"), text.contains(" | ").alias("chart_axis"), text.rlike("[0-9]").alias("has_numbers"),
-        (F.col("n_chars") < 400).alias("figure"), F.regexp_count(text, F.lit("ti")).alias("outside_hits"), F.regexp_count(text, F.lit("the")).alias("inside_hits"),
-    )
+    return chunks.withColumns({"in_syllabus": F.col("label") % 2 == 0, "needs_review": F.col("n_chars") < 200, "figure": F.col("n_chars") < 400})
 
 
 def checks(questions: DataFrame) -> DataFrame:
@@ -63,14 +70,15 @@ best as (select qid, max(score) as top1, arg_max(struct_pack(in_syllabus, needs_
 sig as (select best.*, fifth, round(best_out - best_in, 6) as lead, round(top1 - fifth, 6) as margin, k.* exclude (qid) from best join (select qid, min(score) as fifth from ranked where rank <= 5 group by qid) using (qid) join k using (qid))"""
 
 
-def pairs_with_flags(spark, sf):
+def all_signals(spark, sf) -> DataFrame:
     questions, chunks = tables(spark, sf)
-    return questions, chunks, R.scored(questions, chunks).join(flags(chunks), "cid")
+    pairs = R.scored(questions, R.kinds(flags(chunks)), carry=R.CARRIED, best=R.SIGNALS)
+    return R.signals(pairs).join(F.broadcast(checks(questions)), "qid")
 
 
-def all_signals(spark, sf) -> DataFrame:
-    questions, _, pairs = pairs_with_flags(spark, sf)
-    return R.signals(pairs).join(F.broadcast(checks(questions)), "qid")
+def best_scored(questions: DataFrame, chunks: DataFrame, top: int = R.TOP) -> DataFrame:
+    """The first chunks of each question, with rank."""
+    return R.ranked(R.scored(questions, chunks, best=[(None, top)]), top)
 
 
 def q_idf(spark, sf):
@@ -88,11 +96,11 @@ def q_dense_topk(spark, sf):
 
 
 def q_hybrid_topk(spark, sf):
-    return R.ranked(R.scored(*tables(spark, sf))).select("qid", "rank", "cid", "score")
+    return best_scored(*tables(spark, sf)).select("qid", "rank", "cid", "score")
 
 
 def q_margin(spark, sf):
-    top = R.ranked(R.scored(*tables(spark, sf)))
+    top = best_scored(*tables(spark, sf))
     return top.groupBy("qid").agg(F.max("score").alias("top1"), F.min("score").alias("top5"), F.round(F.max("score") - F.min("score"), 6).alias("margin"))
 
 
@@ -102,9 +110,7 @@ def q_best_per_corpus(spark, sf):
 
 def q_gate(spark, sf):
     """The layered decision: pre-check, lead of other books, review flag, answer in a chart, similarity floor."""
-    questions, chunks, pairs = pairs_with_flags(spark, sf)
-    context = R.ranked(pairs.where("in_syllabus"), R.CONTEXT).groupBy("qid").agg(F.every("chart_axis").alias("all_chart"))
-    rows = R.signals(pairs).join(checks(questions), "qid").join(context, "qid", "left")
+    rows = all_signals(spark, sf)
     reason = F.when(~F.col("passed"), "too_short").when(F.col("beyond"), "beyond_topic").when(F.col("lead") >= R.MARGIN, "out_of_syllabus_by_margin").when(F.col("b.needs_review"), "chunk_below_extraction_gate")
     reason = reason.when(F.col("seeking") & F.col("b.chart_axis") & F.coalesce("all_chart", F.lit(True)), "answer_is_in_a_chart").when(F.col("best_in") < R.FLOOR, "below_similarity_floor")
     layers = F.create_map(*(F.lit(x) for x in ("too_short", "query_pre_check", "beyond_topic", "query_vocabulary", "out_of_syllabus_by_margin", "class_metadata", "chunk_below_extraction_gate", "chunk_flag", "answer_is_in_a_chart", "chart_axis", "below_similarity_floor", "similarity")))
@@ -131,7 +137,7 @@ def q_score_separation(spark, sf):
 def relevant(spark, sf) -> DataFrame:
     """Full ranking with whether the chunk has the question's label."""
     questions, chunks = tables(spark, sf)
-    pairs = R.scored(questions, chunks).join(F.broadcast(questions.select("qid", "qlabel")), "qid").join(chunks.select("cid", "label"), "cid")
+    pairs = R.scored(questions, chunks, carry=("label",)).join(F.broadcast(questions.select("qid", "qlabel")), "qid")
     return R.ranked(pairs, None).withColumn("hit", F.col("qlabel") == F.col("label"))
 
 
@@ -164,20 +170,22 @@ def q_key_terms(spark, sf):
 def q_relevance_by_weight(spark, sf):
     """Share of questions with one of their key terms in the text of their first three chunks, by lexical weight."""
     questions, chunks = tables(spark, sf)
-    weights = F.explode(F.array(*map(F.lit, (0.0, 0.2, 0.35, 0.5, 0.8)))).alias("weight")
-    pairs = R.scored(questions, chunks).select("qid", "cid", "dense", "lex", weights).withColumn("score", F.round(F.col("dense") + F.col("weight") * F.col("lex"), 6))
+    values = (0.0, 0.2, 0.35, 0.5, 0.8)
+    weights = F.explode(F.array(*map(F.lit, values))).alias("weight")
+    pairs = R.scored(questions, chunks, best=[(None, R.CONTEXT)], weights=values).select("qid", "cid", "dense", "lex", weights).withColumn("score", F.round(F.col("dense") + F.col("weight") * F.col("lex"), 6))
     first = Window.partitionBy("qid", "weight").orderBy(F.col("score").desc(), "cid")
     top = pairs.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= R.CONTEXT).select("qid", "weight", "cid")
-    found = top.join(R.postings(chunks), "cid").join(F.broadcast(key_terms(questions, chunks).select("qid", "term")), ["qid", "term"]).select("qid", "weight").distinct()
-    hit = found.groupBy("weight").agg(F.count(F.lit(1)).alias("relevant"))
-    asked = top.groupBy("weight").agg(F.countDistinct("qid").alias("n"))
-    return asked.join(hit, "weight", "left").select("weight", "n", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.round(F.coalesce("relevant", F.lit(0)) / F.col("n"), 6).alias("share"))
+    key = key_terms(questions, chunks).groupBy("qid").agg(F.collect_list("term").alias("terms"))
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("cid"), "text").join(F.broadcast(top), "cid")  # three chunks a question and weight
+    met = texts.join(F.broadcast(key), "qid", "left").select("qid", "weight", F.coalesce(F.arrays_overlap(T.terms(F.col("text")), "terms"), F.lit(False)).alias("met"))
+    each = met.groupBy("qid", "weight").agg(F.max("met").alias("met"))
+    return each.groupBy("weight").agg(F.count(F.lit(1)).alias("n"), F.count_if("met").alias("relevant"), F.round(F.count_if("met") / F.count(F.lit(1)), 6).alias("share"))
 
 
 def q_terms_lost(spark, sf):
     """Question terms that the first three chunks have, but not within the first 900 characters of any."""
     questions, chunks = tables(spark, sf)
-    top = R.ranked(R.scored(questions, chunks), R.CONTEXT).select("qid", "cid")
+    top = best_scored(questions, chunks, R.CONTEXT).select("qid", "cid")
     asked = R.question_terms(questions).select("qid", "term")
     texts = top.join(chunks.select("cid", "text"), "cid")
     have = lambda text: texts.select("qid", F.explode(F.array_distinct(T.terms(text))).alias("term")).distinct().join(asked, ["qid", "term"], "left_semi")
@@ -198,7 +206,8 @@ def q_answerability(spark, sf):
 
 def q_context(spark, sf):
     """The prompt's context: the first three chunks of the syllabus, cut to 900 characters, in order of rank."""
-    questions, chunks, pairs = pairs_with_flags(spark, sf)
+    questions, chunks = tables(spark, sf)
+    pairs = R.scored(questions, flags(chunks), carry=("in_syllabus",), best=[("in_syllabus", R.CONTEXT)])
     top = R.ranked(pairs.where("in_syllabus"), R.CONTEXT).select("qid", "cid", "rank").join(chunks.select("cid", "text", "lang", "label"), "cid")
     part = F.concat(F.lit("["), F.col("lang"), F.lit(" "), F.col("label").cast("string"), F.lit("]\n"), F.substring("text", 1, R.CONTEXT_CHARS))
     return top.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", part.alias("part")))), lambda x: x["part"]), "\n\n---\n\n").alias("context"))

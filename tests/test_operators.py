@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,53 @@ def test_feed_without_files(spark, tmp_path):
     stream = spark.readStream.schema("id bigint, at timestamp").parquet(str(tmp_path / "feed"))
     found = feeds.finished(feeds.handled_once(stream, "id", "at"))
     assert found.columns == ["id", "at"] and not found.collect()
+
+
+def _some_pairs(spark):
+    rng = random.Random(4)
+    words = "the of tide river moon stone lamp fern oak salt ti the".split()
+    vectors = [[rng.choice([0.0, 0.25, -0.5, 0.1234565]) for _ in range(4)] for _ in range(12)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    texts = [line(6) for _ in range(40)]
+    questions = spark.createDataFrame([(i, line(5) if i % 3 else None, vectors[i]) for i in range(9)], "qid bigint, qtext string, qv array<float>")
+    chunks = spark.createDataFrame([(i, rng.choice(texts) if i % 11 else None, rng.choice(vectors), rng.choice([0, 1, 1, None]), rng.randrange(500)) for i in rng.sample(range(3000), 400)], "cid bigint, text string, cv array<float>, label int, n_chars int")
+    text = F.col("text")
+    return questions, chunks.select(
+        "*", (F.col("label") % 2 == 0).alias("in_syllabus"), (F.col("n_chars") < 200).alias("needs_review"), text.contains("oak").alias("chart_axis"), text.rlike("a").alias("has_numbers"), (F.col("n_chars") < 400).alias("figure"),
+        F.regexp_count(text, F.lit("ti")).alias("outside_hits"), F.regexp_count(text, F.lit("the")).alias("inside_hits"),
+    ).repartition(2)
+
+
+def test_pairs_that_matter_give_what_all_pairs_give(spark, monkeypatch):
+    questions, chunks = _some_pairs(spark)
+    kinds = retrieval.kinds(chunks)
+    some = retrieval.scored(questions, kinds, carry=retrieval.CARRIED, best=retrieval.SIGNALS).cache()
+    whole = retrieval.scored(questions, kinds, carry=retrieval.CARRIED).cache()
+    assert whole.count() == 9 * 400 and some.count() < whole.count() / 5
+    known = {(r.qid, r.cid): r for r in whole.collect()}
+    assert all(known[r.qid, r.cid] == r for r in some.collect())
+    signals = sorted(map(str, retrieval.signals(whole).collect()))
+    assert sorted(map(str, retrieval.signals(some).collect())) == signals
+    three = lambda pairs, w: sorted((r.qid, r["rank"], r.cid) for r in retrieval.ranked(pairs.withColumn("s", F.round(F.col("dense") + w * F.col("lex"), 6)), 3, "s").collect())
+    few = retrieval.scored(questions, kinds, best=[(None, 3)], weights=(0.0, 0.5, 0.8)).cache()
+    assert few.count() < whole.count() / 10 and all(three(few, w) == three(whole, w) for w in (0.0, 0.5, 0.8))
+    joined = retrieval.dense(questions, chunks).join(retrieval.lexical(questions, chunks), ["qid", "cid"], "left")
+    assert {(r.qid, r.cid): round(r.lex or 0, 9) for r in joined.collect()} == {k: round(r.lex, 9) for k, r in known.items()}
+    shortened = chunks.withColumn("asked", retrieval.asked_terms(F.col("text"), questions)).drop("text")
+    assert {(r.qid, r.cid): round(r.lex, 9) for r in retrieval.scored(questions, shortened).collect()} == {k: round(r.lex, 9) for k, r in known.items()}
+    monkeypatch.setattr(retrieval, "QUESTIONS", 3)
+    assert sorted(map(str, retrieval.signals(retrieval.scored(questions, kinds, carry=retrieval.CARRIED, best=retrieval.SIGNALS)).collect())) == signals
+    monkeypatch.setattr(retrieval, "QUESTIONS", 50_000)
+    monkeypatch.setattr(retrieval, "QUESTIONS_AT_ONCE", 2)
+    monkeypatch.setattr(retrieval, "CHUNKS_AT_ONCE", 7)
+    assert sorted(map(str, retrieval.signals(retrieval.scored(questions, kinds, carry=retrieval.CARRIED, best=retrieval.SIGNALS)).collect())) == signals
+    assert retrieval.scored(questions.limit(0), chunks, best=[(None, 1)]).count() == 0 == retrieval.scored(questions, chunks.limit(0)).count()
+
+
+def test_rounded_as_by_spark(spark):
+    rng = random.Random(8)
+    values = [rng.uniform(-3, 3) for _ in range(3000)] + [k / 1e6 + 5e-7 for k in range(-1500, 1500)] + [0.0, -0.0, -1e-7, 1234.5678905]
+    rounded = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(F.round("v", 6).alias("v")).collect()]
+    assert [k / 1e6 for k in retrieval.millionths(np.array(values)).tolist()] == rounded
+    odd = np.array([[0.1, np.nan, 3.0, 0.2]])
+    assert retrieval.leading(odd, [(None, 1)]).all() and retrieval.leading(odd[:, 2:], [(None, 1)]).tolist() == [[True, False]]
