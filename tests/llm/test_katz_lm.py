@@ -124,3 +124,21 @@ def test_empty_and_nothing_to_learn(spark):
     assert K.katz_scores(docs.limit(0), F.lit(False)).count() == 0
     got = {r.doc_id: (r.n_tokens, r.n_known, r.score) for r in K.katz_scores(docs, F.lit(True)).collect()}
     assert got == {1: (3, 0, 0.0), 2: (1, 0, 0.0)}
+
+
+@pytest.mark.parametrize("top", [5, 1 << 20, (1 << 64) - 1])
+def test_one_sort_gives_what_numpy_gives(top):
+    rng = np.random.default_rng(top % 97)
+    drawn = rng.integers(0, top, 3000, dtype=np.uint64, endpoint=True)
+    close = np.uint64(7 << 60) + rng.integers(0, 50, 3000, dtype=np.uint64)  # differ in low bits only
+    for high in (drawn, np.concatenate((drawn, drawn[:900])), close, drawn[:1], drawn[:0]):
+        found, order = K._sorted(high)
+        assert order.tolist() == np.argsort(high, kind="stable").tolist() and found.tolist() == high[order].tolist()
+        kinds, at = K._unique(high)
+        want = np.unique(high, return_inverse=True)
+        assert kinds.tolist() == want[0].tolist() and at.tolist() == want[1].tolist()
+        for low in (rng.integers(0, 9, len(high), dtype=np.uint64), high[::-1].copy()):
+            order, begin, one, two = K._pairs(high, low)
+            assert order.tolist() == np.lexsort((low, high)).tolist()
+            assert list(zip(one.tolist(), two.tolist())) == sorted(set(zip(high.tolist(), low.tolist()))) and len(begin) == len(one)
+            assert high[order[begin]].tolist() == one.tolist() and low[order[begin]].tolist() == two.tolist()
